@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -14,12 +13,10 @@ from skein.operators.components import connected_components
 
 SHINGLE = 5
 SIMILARITY = 0.8
-BANDS, ROWS = 16, 2
+BANDS, ROWS = 16, 2  # a pair at the least similarity shares no band with a chance below one in ten million
 #: Members of one band bucket that a task compares with each other or with another such block.
 BLOCK = 2000
 
-_PRIME = (1 << 61) - 1
-
 
 def shingles(text: str, size: int = SHINGLE) -> frozenset[tuple[str, ...]]:
     """Runs of ``size`` words; a shorter text is one shingle of all its words."""
@@ -35,19 +32,25 @@ def _hashes(found: frozenset[tuple[str, ...]]) -> np.ndarray:
     return np.array([xxhash.xxh3_64_intdigest(" ".join(s)) >> 32 for s in found], np.uint64)
 
 
-def signature_bands(text: str, bands: int = BANDS, rows: int = ROWS) -> list[int]:
+_draw = np.random.default_rng(7)
+_SLOPE, _SHIFT = _draw.integers(1, 1 << 31, BANDS * ROWS, dtype=np.uint64), _draw.integers(0, 1 << 31, BANDS * ROWS, dtype=np.uint64)
+_MIX, _BAND = np.array([0x9E3779B1, 0x85EBCA77], np.uint64), np.arange(BANDS, dtype=np.uint64)
+
+
+def signature_bands(text: str) -> list[int]:
     """One 64-bit key for each band of the MinHash signature."""
-    rng = np.random.default_rng(7)
-    a = rng.integers(1, 1 << 31, bands * rows, dtype=np.uint64)
-    b = rng.integers(0, 1 << 31, bands * rows, dtype=np.uint64)
     found = shingles(text)
     if not found:
         return []
-    least = ((_hashes(found)[:, None] * a + b) % np.uint64((1 << 31) - 1)).min(axis=0).reshape(bands, rows)
-    mixed = (least * np.array([0x9E3779B1, 0x85EBCA77], np.uint64)[:rows]).sum(axis=1) * np.uint64(bands) + np.arange(bands, dtype=np.uint64)
+    least = ((_hashes(found)[:, None] * _SLOPE + _SHIFT) % np.uint64((1 << 31) - 1)).min(axis=0).reshape(BANDS, ROWS)
+    mixed = (least * _MIX).sum(axis=1) * np.uint64(BANDS) + _BAND
     return mixed.astype(np.int64).tolist()
 
 
+def _pairs(links: list[tuple[int, int]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([x[k] for x in links], pa.int64()) for k in (0, 1)], names=["src", "dst"])
+
+
 def text_classes(texts: DataFrame, key: str, text: str, similarity: float = SIMILARITY) -> DataFrame:
     """key, class_key: the least key of each text's class; texts must be distinct.
 
@@ -78,10 +81,7 @@ def text_classes(texts: DataFrame, key: str, text: str, similarity: float = SIMI
         .select("band", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own", key, text)
     )
 
-    def forest(group: pd.DataFrame) -> pd.DataFrame:
-        low, high = group["low"].iat[0], group["high"].iat[0]
-        ids, own = group[key].tolist(), group["own"].tolist()
-        found = [shingles(t) for t in group[text]]
+    def forest(ids: list[int], own: list[int], found: list[frozenset], apart: bool) -> list[tuple[int, int]]:
         index: dict = {}
         root = list(range(len(ids)))
 
@@ -99,11 +99,27 @@ def text_classes(texts: DataFrame, key: str, text: str, similarity: float = SIMI
                     shared[j] = shared.get(j, 0) + 1
                 index[s].append(i)
             for j, n in shared.items():
-                if (low == high or own[i] != own[j]) and top(i) != top(j) and n >= similarity * (len(mine) + len(found[j]) - n):
+                if (not apart or own[i] != own[j]) and top(i) != top(j) and n >= similarity * (len(mine) + len(found[j]) - n):
                     root[top(i)] = top(j)
                     links.append((ids[i], ids[j]))
-        return pd.DataFrame(links, columns=["src", "dst"]).astype("int64")
+        return links
 
-    links = placed.groupBy("band", "low", "high").applyInPandas(forest, "src bigint, dst bigint")
+    def buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows come sorted by bucket; one pair of blocks is held at a time."""
+        now, ids, own, found, links = None, [], [], [], []
+        for batch in batches:
+            for band, low, high, mine, i, t in zip(*(c.to_pylist() for c in batch.columns)):
+                if (band, low, high) != now:
+                    links += forest(ids, own, found, now is not None and now[1] != now[2])
+                    now, ids, own, found = (band, low, high), [], [], []
+                ids.append(i)
+                own.append(mine)
+                found.append(shingles(t))
+            yield _pairs(links)
+            links = []
+        yield _pairs(forest(ids, own, found, now is not None and now[1] != now[2]))
+
+    at = ["band", "low", "high"]
+    links = placed.repartition(*at).sortWithinPartitions(*at).mapInArrow(buckets, "src bigint, dst bigint")
     classes = connected_components(links).withColumnsRenamed({"node": key, "component": "class_key"})
     return texts.select(key).join(classes, key, "left").select(key, F.coalesce("class_key", key).alias("class_key"))
