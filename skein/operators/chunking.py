@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from skein.functions import text as T
+from skein.session import checkpoint
 
 SIZE, OVERLAP = 400, 7
 
@@ -50,7 +51,8 @@ def numbered(rows: DataFrame, order: list[str | Column], name: str = "human_read
     Rows are sorted by range; each range numbers its own rows, and the sizes of the ranges before it are added. Only
     one count for each range is brought together.
     """
-    ranged = rows.repartitionByRange(*order).withColumn("_part", F.spark_partition_id())
+    # Written once: sampled range bounds and merged partitions could differ if it were computed twice.
+    ranged = checkpoint(rows.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()))
     local = Window.partitionBy("_part").orderBy(*order)
     sizes = ranged.groupBy("_part").agg(F.count(F.lit(1)).alias("_size"))
     before = sizes.withColumn("_before", F.sum("_size").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))).select("_part", "_before")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from skein.operators.chunking import numbered
 from skein.operators.components import connected_components
 from skein.operators.retrieval import top_per_group
-from skein.session import checkpoint
+from skein.session import written
 
 #: Resolutions of the three levels, by kind of graph.
 RESOLUTIONS = {"DL": (1e-5, 0.036, 0.6), "LLM": (3.5e-4, 0.0013, 0.8)}
@@ -35,8 +35,8 @@ def potts_communities(edges: DataFrame, nodes: DataFrame, resolution: float, rou
     """
     parent = nodes.select("node", "parent")
     ends = edges.join(parent.select(F.col("node").alias("src"), F.col("parent").alias("p")), "src").join(parent.select(F.col("node").alias("dst"), F.col("parent").alias("q")), "dst")
-    links = checkpoint(ends.where("p = q AND src <> dst").groupBy("src", "dst").agg(F.sum("weight").alias("weight")))
-    labels = checkpoint(nodes.select("node", F.col("node").alias("label")))
+    links = written(ends.where("p = q AND src <> dst").groupBy("src", "dst").agg(F.sum("weight").alias("weight")))
+    labels = written(nodes.select("node", F.col("node").alias("label")))
     best, best_value, stale = labels, objective(links, labels, resolution), 0
     for turn in range(rounds):
         sizes = labels.groupBy("label").agg(F.count(F.lit(1)).alias("n"))
@@ -50,7 +50,7 @@ def potts_communities(edges: DataFrame, nodes: DataFrame, resolution: float, rou
         )
         stays = F.coalesce("stay_value", -resolution * F.col("stay_n"))
         moves = scored.where((F.col("best_value") > stays) & (F.pmod(F.xxhash64(F.lit(seed + turn), "node"), F.lit(2)) == 0)).select("node", "best_to")
-        labels = checkpoint(labels.join(moves, "node", "left").select("node", F.coalesce("best_to", "label").alias("label")))
+        labels = written(labels.join(moves, "node", "left").select("node", F.coalesce("best_to", "label").alias("label")))
         value_now = objective(links, labels, resolution)
         if value_now > best_value + 1e-12:
             best, best_value, stale = labels, value_now, 0
@@ -75,22 +75,22 @@ def hierarchy(edges: DataFrame, kind: str = "DL", min_size: int = MIN_SIZE) -> D
     ``edges`` has src, dst, weight in both directions. For the classical graph level 0 are the weak components, which
     its resolution near zero gives. Numbers start at the offsets of the levels.
     """
-    edges = checkpoint(edges)
+    edges = written(edges)
     nodes = edges.select(F.col("src").alias("node")).union(edges.select("dst")).distinct()
     if kind == "DL":
         top = connected_components(edges).select("node", F.col("component").alias("label"))
     else:
         top = potts_communities(edges, nodes.withColumn("parent", F.lit(0)), RESOLUTIONS[kind][0])
-    out, level = None, checkpoint(_number(top.withColumn("parent", F.lit(-1).cast("long")), OFFSETS[0]))
+    out, level = None, written(_number(top.withColumn("parent", F.lit(-1).cast("long")), OFFSETS[0]))
     for depth in range(3):
         part = level.select("node", F.lit(depth).alias("level"), "community", "parent")
         out = part if out is None else out.unionByName(part)
         if depth == 2:
             break
         sizes = level.groupBy("community").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_size).select("community")
-        inner = checkpoint(level.join(sizes, "community", "left_semi").select("node", F.col("community").alias("parent")))
+        inner = written(level.join(sizes, "community", "left_semi").select("node", F.col("community").alias("parent")))
         found = potts_communities(edges, inner, RESOLUTIONS[kind][depth + 1]).join(inner, "node")
-        level = checkpoint(_number(found, OFFSETS[depth + 1]))
+        level = written(_number(found, OFFSETS[depth + 1]))
     return out
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skein.session import checkpoint
+from skein.session import written
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -36,12 +36,12 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
     minimum of its neighbours. Lineage is cut by a reliable checkpoint each round.
     """
     plain = edges.select(F.col(src).alias("u"), F.col(dst).alias("v")).where(F.col("u").isNotNull() & F.col("v").isNotNull())
-    plain = checkpoint(plain.distinct())
+    plain = written(plain.distinct())
     loops = plain.select("u").union(plain.select("v")).distinct()
     now = plain.where(F.col("u") != F.col("v"))
     seen = None
     for _ in range(max_rounds):
-        now = checkpoint(_star(_star(now, True), False))
+        now = written(_star(_star(now, True), False))
         state = _state(now)
         if state == seen:
             break

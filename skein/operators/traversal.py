@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skein.operators.components import connected_components
-from skein.session import checkpoint
+from skein.session import written
 
 
 def hops(edges: DataFrame, seeds: DataFrame, max_hops: int, limit: int | None = None) -> DataFrame:
@@ -16,11 +16,11 @@ def hops(edges: DataFrame, seeds: DataFrame, max_hops: int, limit: int | None =
     the frontier with the edges and drops what was seen, so a node is expanded once. With ``limit`` the first nodes by
     hop and id are returned.
     """
-    seen = checkpoint(seeds.select(F.col("node"), F.lit(0).alias("hop")).where("node IS NOT NULL").distinct())
+    seen = written(seeds.select(F.col("node"), F.lit(0).alias("hop")).where("node IS NOT NULL").distinct())
     frontier = seen
     for hop in range(1, max_hops + 1):
         reached = frontier.select(F.col("node").alias("src")).join(edges.select("src", "dst"), "src").select(F.col("dst").alias("node")).distinct()
-        frontier = checkpoint(reached.join(seen.select("node"), "node", "left_anti").withColumn("hop", F.lit(hop)))
+        frontier = written(reached.join(seen.select("node"), "node", "left_anti").withColumn("hop", F.lit(hop)))
         if frontier.isEmpty():
             break
         seen = seen.unionByName(frontier)
@@ -30,12 +30,12 @@ def hops(edges: DataFrame, seeds: DataFrame, max_hops: int, limit: int | None =
 
 def distances(edges: DataFrame, sources: DataFrame, max_hops: int = 1000) -> DataFrame:
     """source, node, hop: steps from each source of a stated set to every node it reaches, itself at 0."""
-    seen = checkpoint(sources.select(F.col("node").alias("source"), "node", F.lit(0).alias("hop")).distinct())
+    seen = written(sources.select(F.col("node").alias("source"), "node", F.lit(0).alias("hop")).distinct())
     frontier = seen
     for hop in range(1, max_hops + 1):
         step = frontier.select("source", F.col("node").alias("src")).join(edges.select("src", "dst"), "src")
         reached = step.select("source", F.col("dst").alias("node")).distinct()
-        frontier = checkpoint(reached.join(seen.select("source", "node"), ["source", "node"], "left_anti").withColumn("hop", F.lit(hop)))
+        frontier = written(reached.join(seen.select("source", "node"), ["source", "node"], "left_anti").withColumn("hop", F.lit(hop)))
         if frontier.isEmpty():
             break
         seen = seen.unionByName(frontier)
@@ -47,12 +47,12 @@ def _spread(edges: DataFrame, labels: DataFrame, keep: DataFrame | None = None)
     links = edges
     if keep is not None:
         links = edges.join(keep.select(F.col("node").alias("src"), F.col("mark").alias("a")), "src").join(keep.select(F.col("node").alias("dst"), F.col("mark").alias("b")), "dst").where("a = b").select("src", "dst")
-        links = checkpoint(links)
+        links = written(links)
     now = labels
     while True:
         sent = links.join(now.select(F.col("node").alias("src"), "label"), "src").groupBy(F.col("dst").alias("node")).agg(F.max("label").alias("got"))
         moved = now.join(sent, "node", "left").select("node", F.greatest("label", F.coalesce("got", "label")).alias("label"), (F.col("got") > F.col("label")).alias("changed"))
-        moved = checkpoint(moved)
+        moved = written(moved)
         now = moved.select("node", "label")
         if moved.where("changed").isEmpty():
             return now
@@ -64,17 +64,17 @@ def strong_components(edges: DataFrame, max_rounds: int = 100) -> DataFrame:
     Forward-backward colouring: nodes without an edge in or out of what is left are components of their own; the
     greatest label is carried forwards, then back inside each colour from its root, and what it reaches is a component.
     """
-    left = checkpoint(edges.select("src", "dst").where("src IS NOT NULL AND dst IS NOT NULL").distinct())
-    nodes = checkpoint(left.select(F.col("src").alias("node")).union(left.select("dst")).distinct())
-    left = checkpoint(left.where("src <> dst"))
+    left = written(edges.select("src", "dst").where("src IS NOT NULL AND dst IS NOT NULL").distinct())
+    nodes = written(left.select(F.col("src").alias("node")).union(left.select("dst")).distinct())
+    left = written(left.where("src <> dst"))
     done = None
     for _ in range(max_rounds):
         while True:
             core = left.select(F.col("src").alias("node")).intersect(left.select(F.col("dst").alias("node")))
-            core = checkpoint(core)
-            slim = checkpoint(left.join(core.withColumnRenamed("node", "src"), "src", "left_semi").join(core.withColumnRenamed("node", "dst"), "dst", "left_semi"))
+            core = written(core)
+            slim = written(left.join(core.withColumnRenamed("node", "src"), "src", "left_semi").join(core.withColumnRenamed("node", "dst"), "dst", "left_semi"))
             alone = nodes.join(core, "node", "left_anti").select("node", F.col("node").alias("component"))
-            found = checkpoint(alone)
+            found = written(alone)
             done = found if done is None else done.unionByName(found)
             nodes, trimmed, left = core, not found.isEmpty(), slim
             if not trimmed:
@@ -85,10 +85,10 @@ def strong_components(edges: DataFrame, max_rounds: int = 100) -> DataFrame:
         roots = colour.select("node", F.when(F.col("node") == F.col("label"), F.col("label")).alias("label"), F.col("label").alias("mark"))
         back = left.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
         reached = _spread_from(back, roots)
-        found = checkpoint(reached.select("node", F.col("mark").alias("component")))
+        found = written(reached.select("node", F.col("mark").alias("component")))
         done = done.unionByName(found)
-        nodes = checkpoint(nodes.join(found, "node", "left_anti"))
-        left = checkpoint(left.join(found.select(F.col("node").alias("src")), "src", "left_anti").join(found.select(F.col("node").alias("dst")), "dst", "left_anti"))
+        nodes = written(nodes.join(found, "node", "left_anti"))
+        left = written(left.join(found.select(F.col("node").alias("src")), "src", "left_anti").join(found.select(F.col("node").alias("dst")), "dst", "left_anti"))
     raise RuntimeError("strong components did not settle")
 
 
@@ -96,12 +96,12 @@ def _spread_from(edges: DataFrame, roots: DataFrame) -> DataFrame:
     """node, mark of the nodes that a root reaches inside its own mark."""
     marks = roots.select("node", "mark")
     inside = edges.join(marks.select(F.col("node").alias("src"), F.col("mark").alias("a")), "src").join(marks.select(F.col("node").alias("dst"), F.col("mark").alias("b")), "dst").where("a = b").select("src", "dst")
-    inside = checkpoint(inside)
-    seen = checkpoint(roots.where("label IS NOT NULL").select("node"))
+    inside = written(inside)
+    seen = written(roots.where("label IS NOT NULL").select("node"))
     frontier = seen
     while True:
         reached = frontier.withColumnRenamed("node", "src").join(inside, "src").select(F.col("dst").alias("node")).distinct()
-        frontier = checkpoint(reached.join(seen, "node", "left_anti"))
+        frontier = written(reached.join(seen, "node", "left_anti"))
         if frontier.isEmpty():
             return marks.join(seen, "node", "left_semi")
         seen = seen.unionByName(frontier)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -24,8 +25,8 @@ def local_session(cpus: int | str = "*", shuffle_partitions: int = 8, driver_mem
     )
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Cut the lineage of ``df`` with a reliable checkpoint.
+def checkpoint_folder(df: DataFrame) -> None:
+    """Make sure that the context has a checkpoint folder.
 
     The folder is the one the cluster names in ``spark.checkpoint.dir``. Only where neither that setting nor a
     context folder exists, and the master is local, a temporary folder is chosen.
@@ -39,4 +40,22 @@ def checkpoint(df: DataFrame) -> DataFrame:
                 raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
             folder = tempfile.mkdtemp(prefix="skein-checkpoint-")
         sc.setCheckpointDir(folder)
+
+
+def checkpoint(df: DataFrame) -> DataFrame:
+    """Cut the lineage of ``df`` with a reliable checkpoint."""
+    checkpoint_folder(df)
     return df.checkpoint(eager=True)
+
+
+def written(df: DataFrame) -> DataFrame:
+    """Cut the lineage of ``df`` with a Parquet table in the checkpoint folder.
+
+    For iterations whose rounds build on each other: a checkpointed plan keeps the statistics and constraints that were
+    inferred for it, which multiply from round to round until planning takes longer than the work; a table read back
+    knows nothing but its columns.
+    """
+    checkpoint_folder(df)
+    path = f"{df.sparkSession.sparkContext._jsc.sc().getCheckpointDir().get()}/{uuid.uuid4().hex}.parquet"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
