@@ -204,7 +204,7 @@ def training_sample(documents: DataFrame, labels: DataFrame, max_labels: int = M
     rows.sort(key=lambda r: (r["doc_id"], r["reviewer"] or "", r["verdict"], r["text"]))
     seen = {r["doc_id"] for r in rows}
     others = [r for r in _sample(written, ["doc_id"], max_background).collect() if r["doc_id"] not in seen]
-    others.sort(key=lambda r: (r["doc_id"], r["text"]))
+    others.sort(key=lambda r: (r["doc_id"] is None, r["doc_id"] or 0, r["text"]))
     return [r["text"] for r in rows], [r["verdict"] for r in rows], [r["text"] for r in others]
 
 

@@ -97,8 +97,8 @@ def leaked_passages(documents: DataFrame, items: DataFrame, min_words: int = MIN
     """doc_id, item_id, first_word, n_words: the longest run of words that a document shares with each passage.
 
     Words are the longest runs of letters or digits in lower case; what stands between them does not matter. Pairs with
-    fewer than ``min_words`` words in a row give no row; null, empty and short texts or passages give none. A repeated
-    doc_id gives a row for each of its texts that matches. Passages travel in blocks of ``BLOCK_WORDS`` words, so their
+    fewer than ``min_words`` words in a row give no row; null, empty and short texts or passages give none. Items
+    without id are skipped. A repeated doc_id gives a row for each of its texts that matches. Passages travel in blocks of ``BLOCK_WORDS`` words, so their
     broadcast is bounded however many there are.
     """
     spark = documents.sparkSession
@@ -125,7 +125,7 @@ def leaked_passages(documents: DataFrame, items: DataFrame, min_words: int = MIN
 def _blocks(items: DataFrame) -> Iterator[list[tuple[int, str]]]:
     block: list[tuple[int, str]] = []
     size = 0
-    for row in items.where(F.col("passage").isNotNull()).select("item_id", "passage").toLocalIterator():
+    for row in items.where(F.col("passage").isNotNull() & F.col("item_id").isNotNull()).select("item_id", "passage").toLocalIterator():
         block.append((row["item_id"], row["passage"]))
         size += len(row["passage"]) // 2
         if size >= BLOCK_WORDS:

@@ -48,8 +48,8 @@ def _atoms(text: str, start: int, end: int, room: int, level: int, out: list[tup
 def cuts(text: str, limit: int = LIMIT, overlap: int = OVERLAP) -> list[int]:
     """Offsets at which ``text`` is cut; empty if it has at most ``limit`` code points.
 
-    The segments of the text and the boundaries between them stand in a heap; the weakest boundary, then the smallest
-    union, then the leftmost, is merged while the union and the overlap before it fit the limit.
+    The segments of the text and the boundaries between them stand in a heap; the weakest boundary, the leftmost of
+    them, is merged while the union and the overlap before it fit the limit.
     """
     if not 0 <= overlap < limit:
         raise ValueError("the overlap must be smaller than the limit")
@@ -76,13 +76,13 @@ def cuts(text: str, limit: int = LIMIT, overlap: int = OVERLAP) -> list[int]:
     def push(i: int) -> None:
         if 0 <= i and after[i] < n and (found := fits(i)):
             rank = atoms_rank[i]
-            heapq.heappush(heap, (rank, found[0], starts[i], i, version[i]))
+            heapq.heappush(heap, (rank, starts[i], found[0], i, version[i]))
 
     atoms_rank = [r for _, r in atoms]
     for i in range(n - 1):
         push(i)
     while heap:
-        _, size, _, i, seen = heapq.heappop(heap)
+        _, _, size, i, seen = heapq.heappop(heap)
         if not alive[i] or seen != version[i] or after[i] >= n or ends[after[i]] - starts[i] != size:
             continue
         j = after[i]
