@@ -61,7 +61,7 @@ def undisguise(word: str) -> str:
     """A word in lower case, with digits and signs that stand for letters put back; plain numbers become ``0``."""
     letters = sum(c.isalpha() for c in word)
     digits = sum(c.isdigit() for c in word)
-    if not letters or digits and (digits >= 4 or digits > letters or word.rstrip("0123456789").isalpha() and digits > 1):
+    if not letters or digits and (digits >= 4 or digits > 2 * letters or word.rstrip("0123456789").isalpha() and digits > 1):
         return "0"
     word = word.lower().replace("’", "'")
     if digits or not word.isalpha():
