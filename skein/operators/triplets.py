@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType
 
 from skein.functions.fuzzy import sequence_ratio
 
@@ -48,7 +49,7 @@ def mention_types(names: DataFrame, found: DataFrame, scope: str, threshold: flo
 
 def regular_triplets(rows: DataFrame, key: str, text: str, pattern: str) -> DataFrame:
     """key, pos, head, type, tail: what a pattern with three groups finds in each text; the offline extractor."""
-    schema = rows.select(key).schema.add("pos", "int").add("head", "string").add("type", "string").add("tail", "string")
+    schema = rows.select(key).schema.add("pos", IntegerType()).add("head", "string").add("type", "string").add("tail", "string")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import re
