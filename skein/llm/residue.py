@@ -63,6 +63,7 @@ ERRORS = (
     r"(?:la |cette )?page(?: que vous)?(?: demandée| recherchée| cherchez)? (?:est introuvable|n'existe|n’existe|a été (?:supprimée|déplacée))",
     r"page (?:introuvable|non trouvée)",
     r"accès (?:refusé|interdit)",
+    r"vous n'(?:avez pas|êtes pas) (?:le droit|la permission|l'autorisation|autorisé)",
     r"(?:le )?(?:service|serveur|site)(?: est)? (?:temporairement )?indisponible",
     r"(?:merci de|veuillez) réessayer",
     r"(?:une )?erreur (?:est survenue|interne|inattendue)",
@@ -70,6 +71,7 @@ ERRORS = (
     r"(?:votre )?session (?:a )?expiré",
     r"(?:die )?(?:angeforderte |gesuchte )?seite (?:wurde nicht gefunden|nicht gefunden|existiert nicht|ist nicht)",
     r"zugriff (?:verweigert|nicht)",
+    r"(?:sie haben keine|ihnen fehlt die) berechtigung",
     r"(?:der )?(?:dienst|server|service)(?: ist)? (?:vorübergehend |derzeit |zurzeit )?nicht (?:verfügbar|erreichbar)",
     r"wartungsarbeiten|(?:wegen )?wartung\b",
     r"(?:es ist )?ein (?:interner |unerwarteter )?fehler (?:ist )?aufgetreten",
@@ -78,6 +80,7 @@ ERRORS = (
     r"no se (?:encuentra|encontró|ha encontrado|pudo encontrar) (?:la|esta) página",
     r"(?:la )?página(?: solicitada| que busca)? (?:no (?:existe|encontrada|se encuentra|está)|ha sido)",
     r"acceso (?:denegado|prohibido)",
+    r"(?:usted )?no (?:tiene|dispone de) (?:permiso|autorización|acceso)",
     r"(?:el )?servicio(?: temporalmente)? no disponible",
     r"(?:inténtelo|inténtalo|vuelva a intentarlo) (?:de nuevo|más tarde|otra vez)",
     r"(?:se ha producido|ocurrió) un error",
@@ -101,6 +104,8 @@ SCRIPTS = (
     r"(?:ihr|dieser) browser .{0,40}(?:skript|javascript)",
     r"(?:por favor,? )?(?:active|activa|habilite|debe activar) (?:javascript|los scripts)",
     r"(?:los scripts|javascript) (?:están|está|deben?|es) ",
+    r"(?:les )?scripts (?:sont|doivent)\b",
+    r"(?:die )?skripte (?:sind|müssen)\b",
     r"(?:su|este) navegador .{0,40}(?:script|javascript)",
 )
 # Filler that editors leave in a page.
@@ -120,7 +125,8 @@ FILLERS = (
     r"(?:hier|ihr) (?:(?:steht|kommt|folgt|erscheint)(?: [^ ]+){0,3} |ihr(?:en)? )?text\b",
     r"text folgt",
     r"(?:escriba|inserte|introduzca|ponga|añada)(?: aquí)? (?:su|el) texto",
-    r"(?:párrafo|contenido) de (?:relleno|ejemplo|prueba)",
+    r"(?:párrafo|contenido) de (?:relleno|ejemplo|muestra|prueba)",
+    r"paragraphe (?:à remplacer|de remplissage|provisoire|d'exemple)",
     r"texto (?:de (?:relleno|ejemplo|prueba)|provisional|aquí|pendiente)",
     r"(?:asdf|qwer|qwertz|hjkl|jklö|jkl)\w* +(?:asdf|qwer|qwertz|hjkl|jklö|jkl)",
     r"(\p{L}{2,})[\s,.]+\1[\s,.]+(?:\1|\d+)\b",
