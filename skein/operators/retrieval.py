@@ -15,6 +15,8 @@ from pyspark.sql import types as ST
 
 #: Queries that travel in one broadcast; more queries are searched in further passes over the rows.
 BLOCK = 1024
+#: Texts that are scored against a block of queries at once.
+ROWS = 1000
 # The term-frequency weights of the sparse vectors.
 K1, B, AVERAGE_LENGTH = 1.2, 0.75, 256.0
 RRF_K = 60
@@ -111,23 +113,31 @@ def sparse_search(texts: DataFrame, queries: DataFrame, k: int, key: str = "doc_
 
     def scorer(asked: list) -> Callable:
         split = re.compile("[a-z0-9]+").findall
-        postings: dict[str, list[tuple[int, float]]] = {}
+        met: dict[str, list[tuple[int, float]]] = {}
         for q, (_, question) in enumerate(asked):
             for t, w in term_weights(split((question or "").lower())).items():
-                postings.setdefault(t, []).append((q, w))
+                met.setdefault(t, []).append((q, w))
+        postings = {t: (np.array([q for q, _ in rows]), np.array([w for _, w in rows])) for t, rows in met.items()}
 
         def score(batch: pa.RecordBatch):
-            rows: list[list[int]] = [[] for _ in asked]
-            sums: list[list[float]] = [[] for _ in asked]
-            for i, text_ in enumerate(batch.column(1).to_pylist()):
-                total: dict[int, float] = {}
-                for t, w in term_weights(split((text_ or "").lower())).items():
-                    for q, v in postings.get(t, ()):
-                        total[q] = total.get(q, 0.0) + v * w
-                for q, s in total.items():
-                    rows[q].append(i)
-                    sums[q].append(s)
-            return ((q, rows[q], sums[q]) for q in range(len(asked)) if rows[q])
+            column = batch.column(1)
+            for start in range(0, len(column), ROWS):
+                part = column.slice(start, ROWS).to_pylist()
+                scores = np.zeros((len(part), len(asked)))
+                for row, text_ in zip(scores, part):
+                    for t, w in term_weights(split((text_ or "").lower())).items():
+                        if t in postings:
+                            at, weights = postings[t]
+                            row[at] += weights * w
+                for q in range(len(asked)):
+                    s = scores[:, q]
+                    at = np.flatnonzero(s)
+                    if len(at) > k:
+                        # All that tie with the last are kept here, so that the id decides.
+                        least = np.partition(s[at], len(at) - k)[len(at) - k]
+                        at = at[s[at] >= least]
+                    if len(at):
+                        yield q, start + at, s[at]
 
         return score
 

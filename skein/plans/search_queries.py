@@ -16,7 +16,7 @@ def _graph(spark: SparkSession, folder: str) -> tuple[search.Graph, list[float]]
     points = table(spark, folder, "embeddings")
     entities = table(spark, folder, "entities")
     with_vector = entities.join(points.select(F.col("vec_id").alias("human_readable_id"), "embedding"), "human_readable_id", "left")
-    chunks = table(spark, folder, "documents").join(points.select(F.col("vec_id").alias("doc_id"), "embedding"), "doc_id")
+    chunks = table(spark, folder, "documents").join(points.select(F.col("vec_id").alias("doc_id"), "embedding"), "doc_id", "left")
     chunks = chunks.select(F.col("doc_id").cast("string").alias("chunk_id"), "title", "text", word_count(F.col("text")).alias("n_tokens"), "embedding")
     held = entities.select(F.col("id").alias("entity_id"), F.explode(F.array(F.col("human_readable_id").cast("string"), (F.col("human_readable_id") + 1).cast("string"))).alias("chunk_id"))
     letters = with_vector.withColumn("community", F.substring("title", 1, 1))

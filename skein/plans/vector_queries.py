@@ -68,14 +68,15 @@ def label_mean_relevance(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _chunks(spark: SparkSession, folder: str) -> DataFrame:
-    """Documents that have a vector, with it."""
+    """All documents, with their vector where they have one."""
     points = _points(spark, folder).select(F.col("vec_id").alias("doc_id"), "embedding")
-    return table(spark, folder, "documents").join(points, "doc_id")
+    return table(spark, folder, "documents").join(points, "doc_id", "left")
 
 
 def _questions(chunks: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The vectors of the asking documents that have one, and the texts of all of them."""
     asked = chunks.where((F.col("doc_id") % EVERY == 0) & F.col("text").isNotNull())
-    return asked.select("doc_id", "embedding"), asked.select("doc_id", F.substring("text", 1, 200).alias("text"))
+    return asked.where(F.col("embedding").isNotNull()).select("doc_id", "embedding"), asked.select("doc_id", F.substring("text", 1, 200).alias("text"))
 
 
 def bm25_tf_topk(spark: SparkSession, folder: str) -> DataFrame:
