@@ -76,7 +76,7 @@ def _chunks(spark: SparkSession, folder: str) -> DataFrame:
 def _questions(chunks: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The vectors of the asking documents that have one, and the texts of all of them."""
     asked = chunks.where((F.col("doc_id") % EVERY == 0) & F.col("text").isNotNull())
-    return asked.where(F.col("embedding").isNotNull()).select("doc_id", "embedding"), asked.select("doc_id", F.substring("text", 1, 200).alias("text"))
+    return asked.where(F.col("embedding").isNotNull()).select("doc_id", "embedding"), asked.select("doc_id", "text")
 
 
 def bm25_tf_topk(spark: SparkSession, folder: str) -> DataFrame:

@@ -31,6 +31,13 @@ def test_texts_without_vector_are_searched_and_asked(spark, tmp_path):
     assert strategies == {(s, q) for s in ("sparse", "hybrid") for q in (0, 20, 40, 60)} | {("dense", 0), ("dense", 20)}
 
 
+def test_whole_texts_ask(spark, tmp_path):
+    texts = {0: "dust " * 60 + "comet", 1: "comet", 2: "other"}
+    folder = folder_of(spark, tmp_path, texts, {0: [1.0, 0.0]})
+    got = {(r["query_id"], r["doc_id"]) for r in vector_queries.bm25_tf_topk(spark, folder).collect()}
+    assert got == brute_sparse(texts, 4) == {(0, 0), (0, 1)}
+
+
 def test_chunks_of_the_graph_without_vector_are_kept(spark, tmp_path):
     folder = folder_of(spark, tmp_path, {0: "a", 1: "b"}, {0: [1.0, 0.0]})
     entities = [(n, f"e{n}", f"T{n}", "d", "X", 1) for n in range(2)]
