@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skein.llm.lines import line_support, keyed_lines, normal_line, site_of
+from skein.session import written
 
 MIN_SUPPORT = 8
 MIN_SHARE = 0.01
@@ -187,9 +188,9 @@ def names_subject(line: Column, subject: Column) -> Column:
 
 
 def recurrent_lines(pages: DataFrame, min_support: int = MIN_SUPPORT, min_share: float = MIN_SHARE) -> DataFrame:
-    """(site_key, line_key) of the boilerplate of each site.
+    """(site_key, line_key, everywhere) of the recurring lines of each site; everywhere: on all of its URLs.
 
-    A line is boilerplate if it stands on at least ``min_support`` URLs and on a share of at least ``min_share`` of the
+    A line recurs if it stands on at least ``min_support`` URLs and on a share of at least ``min_share`` of the
     site's URLs. The share keeps a message that hits a few pages of a huge site from passing for its boilerplate.
     """
     keyed = keyed_lines(pages)
@@ -200,7 +201,7 @@ def recurrent_lines(pages: DataFrame, min_support: int = MIN_SUPPORT, min_share:
         .agg(F.count_distinct("url_key").alias("site_urls"))
     )
     often = line_support(keyed).where(F.col("n_urls") >= min_support)
-    return often.join(urls, "site_key").where(F.col("n_urls") >= min_share * F.col("site_urls")).select("site_key", "line_key")
+    return often.join(urls, "site_key").where(F.col("n_urls") >= min_share * F.col("site_urls")).select("site_key", "line_key", (F.col("n_urls") == F.col("site_urls")).alias("everywhere"))
 
 
 def residual_evidence(pages: DataFrame, min_support: int = MIN_SUPPORT, min_share: float = MIN_SHARE) -> DataFrame:
@@ -209,7 +210,8 @@ def residual_evidence(pages: DataFrame, min_support: int = MIN_SUPPORT, min_shar
     Suspects are the pages with a line of evidence; ``messages`` counts its lines that are an error, filler or script
     notice, ``slots`` those with an unfilled slot, ``prose`` its lines of article text. ``kind`` is the evidence named
     first of slot, error, scripts, filler. Null, empty and blank chunks are no suspects; pages without URL have no site,
-    so nothing is subtracted from them.
+    so nothing is subtracted from them. A recurring message is boilerplate only if most URLs that carry it also have article
+    text, or if all URLs of the site carry it; a slot never is.
     """
     order = F.array(*map(F.lit, ("slot", "error", "scripts", "filler")))
     lines = pages.where(F.col("chunk").isNotNull()).select("page_id", "url", "chunk", F.split("chunk", "\n", -1).alias("lines"))
@@ -218,12 +220,26 @@ def residual_evidence(pages: DataFrame, min_support: int = MIN_SUPPORT, min_shar
     parts = suspects.withColumn("subject", subject).select("page_id", "url", "subject", F.explode(F.arrays_zip("lines", "marks")).alias("part")).select(
         "page_id",
         F.xxhash64(site_of(F.col("url"))).alias("site_key"),
+        F.xxhash64("url").alias("url_key"),
         F.xxhash64(normal_line(F.col("part.lines"))).alias("line_key"),
         F.col("part.marks").alias("mark"),
         (is_prose(F.col("part.lines")) & (F.col("subject").isNull() | names_subject(F.col("part.lines"), F.col("subject")))).alias("prose"),
     )
     parts = parts.where(F.col("mark").isNotNull() | F.col("prose"))
-    left = parts.join(recurrent_lines(pages, min_support, min_share), ["site_key", "line_key"], "left_anti")
+    parts = parts.join(recurrent_lines(pages, min_support, min_share), ["site_key", "line_key"], "left").withColumn("recurs", F.col("everywhere").isNotNull())
+    parts = written(parts)
+    message = F.col("mark").isNotNull() & (F.col("mark") != "slot")
+    articles = parts.where(F.col("mark").isNull() & ~F.col("recurs")).select("site_key", "url_key", F.lit(True).alias("article")).distinct()
+    carriers = parts.where(message & F.col("recurs")).select("site_key", "line_key", "url_key", "everywhere").distinct()
+    framed = (
+        carriers.join(articles, ["site_key", "url_key"], "left")
+        .groupBy("site_key", "line_key")
+        .agg(F.count(F.lit(1)).alias("urls"), F.count("article").alias("articles"), F.max("everywhere").alias("everywhere"))
+        .where(F.col("everywhere") | (2 * F.col("articles") > F.col("urls")))
+        .select("site_key", "line_key", F.lit(True).alias("framed"))
+    )
+    gone = F.col("recurs") & (F.col("mark").isNull() | (message & F.col("framed").isNotNull()))
+    left = parts.join(framed, ["site_key", "line_key"], "left").where(~gone)
     return left.groupBy("page_id").agg(
         F.element_at(order, F.min(F.array_position(order, F.col("mark"))).cast("int")).alias("kind"),
         F.count_if(F.col("mark") == "slot").alias("slots"),
