@@ -44,6 +44,7 @@ _words = re.compile(r"[^\W\d_]+").findall
 _quoted = re.compile(r"\"[^\"\n]*(?:\"|$)|“[^”\n]*(?:”|$)|«[^»\n]*(?:»|$)|„[^“”\n]*(?:[“”]|$)")
 _bare = re.compile(r"[\W_]+")
 _label = re.compile(r"^\W*(?:question|query|prompt|q|frage|pregunta|answer|antwort|respuesta|réponse)\s*:\s*", re.I)
+_sentences = re.compile(r"(?<=[.!?])\s+").split
 _end = re.compile(r"[.!?。！？][\"'”’»)\]*_]*$")
 _off = re.compile(r"(?:\.\.\.|…|[,;:(\[\-–—/])[\"'”’»*_]*$")
 
@@ -110,18 +111,24 @@ def opening(text: str, query: str | None) -> str:
     return " ".join(out)
 
 
+def _cued(text: str) -> bool:
+    return bool(CUES.search(text.replace("’", "'")))
+
+
 def answers_something(text: str, query: str | None) -> bool:
-    """The text names a number that the question doesn't, or goes on for long after its first sentence."""
+    """The text names a number that the question doesn't, or says much in sentences that carry no refusal's words."""
     asked = set(re.findall(r"\d[\d.,]*\d|\d", query or ""))
     if any(n not in asked for n in re.findall(r"\d[\d.,]*\d|\d", text)):
         return True
-    rest = re.split(r"(?<=[.!?])\s+", text.strip(), maxsplit=1)
-    return len(rest) > 1 and len(rest[1].split()) > 8
+    return sum(len(s.split()) for s in _sentences(text.strip()) if not _cued(s)) > 8
 
 
 def direct_checks(records: DataFrame) -> DataFrame:
-    """record_id, answer_field, defect, opening, prompt, cue, answered: one row for each answer of each record."""
-    schema = "record_id bigint, answer_field string, defect string, opening string, prompt bigint, cue boolean, answered boolean"
+    """record_id, answer_field, defect, opening, prompt, cue, answered, declines: one row for each answer of each record.
+
+    ``cue`` is a refusal's word in the first sentence; an answer declines if any sentence has one and none says more.
+    """
+    schema = "record_id bigint, answer_field string, defect string, opening string, prompt bigint, cue boolean, answered boolean, declines boolean"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
@@ -132,18 +139,19 @@ def direct_checks(records: DataFrame) -> DataFrame:
                 prompt = xxhash.xxh3_64_intdigest(_same(query or "")) - (1 << 63)
                 for field, text in zip(FIELDS, answers):
                     if is_empty(text):
-                        rows.append((record, field, "empty", None, prompt, False, False))
+                        rows.append((record, field, "empty", None, prompt, False, False, False))
                     elif is_copy(text, query):
-                        rows.append((record, field, "copied_question", None, prompt, False, False))
+                        rows.append((record, field, "copied_question", None, prompt, False, False, False))
                     else:
                         start = opening(text, query)
                         first = re.split(r"(?<=[.!?])\s+", text.strip(), maxsplit=1)[0]
                         defect = "wrong_language" if other_language(text, query) else "truncated" if breaks_off(text) else None
-                        rows.append((record, field, defect, start, prompt, bool(CUES.search(first.replace("’", "'"))), answers_something(text, query)))
-            columns = list(zip(*rows)) if rows else [[]] * 7
+                        answered = answers_something(text, query)
+                        rows.append((record, field, defect, start, prompt, _cued(first), answered, _cued(text) and not answered))
+            columns = list(zip(*rows)) if rows else [[]] * 8
             yield pa.RecordBatch.from_arrays(
-                [pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.bool_(), pa.bool_()))],
-                names=["record_id", "answer_field", "defect", "opening", "prompt", "cue", "answered"],
+                [pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.bool_(), pa.bool_(), pa.bool_()))],
+                names=["record_id", "answer_field", "defect", "opening", "prompt", "cue", "answered", "declines"],
             )
 
     return records.select("record_id", "query", *FIELDS).mapInArrow(run, schema)
@@ -182,6 +190,7 @@ def broken_pairs(records: DataFrame) -> DataFrame:
     templates = opening_templates(checked)
     refusing = templates.where("refusal").select("opening_key", F.lit(True).alias("refusal"))
     joined = checked.withColumn("opening_key", F.xxhash64("opening")).join(refusing, "opening_key", "left")
-    refused = F.col("refusal").isNotNull() & ~F.col("answered")
+    # Refusals of a known class, and single ones, whatever the size of their class.
+    refused = (F.col("refusal").isNotNull() & ~F.col("answered")) | F.col("declines")
     defect = F.when(F.col("defect").isin("empty", "copied_question"), F.col("defect")).when(refused, F.lit("refusal")).otherwise(F.col("defect"))
     return joined.select("record_id", "answer_field", defect.alias("defect")).where(F.col("defect").isNotNull())

@@ -14,3 +14,13 @@ def test_messages_and_slots_that_recur_on_a_site(spark):
     rows += [(i, f"{BODY} {i}\nObserved by {{{{ name }}}} near it.", url(i)) for i in range(45, 55)]
     got = {r[0]: r[1] for r in residue.residue_pages(spark.createDataFrame(rows, PAGES)).collect()}
     assert got == {i: "error" for i in range(10)} | {i: "slot" for i in range(45, 55)}
+
+
+def test_single_refusals(spark):
+    rows = [
+        (1, "What is the mass of Velor 123?", "As a language model, I am not able to give an answer on Velor 123.", "The mass of Velor 123 is 45 kg."),
+        (2, "Who mapped the ridges of Other 9?", "Thank you for asking. I cannot answer that.", "I can't quote the passage in full, but the value is clear. It was the neutron gauge that first saw water ice there."),
+        (3, "How wide is Nine 7?", "I cannot answer that. I do not have access to any of the tables that one would need for it.", "About 45 km."),
+    ]
+    records = spark.createDataFrame(rows, "record_id bigint, query string, actual_output string, expected_output string")
+    assert {tuple(r) for r in pairs.broken_pairs(records).collect()} == {(i, "actual_output", "refusal") for i in (1, 2, 3)}
