@@ -16,7 +16,6 @@ from skein.llm.lines import keyed_lines, line_support
 from skein.session import written
 
 MIN_SUPPORT = 8
-MAX_LENGTH = 6
 
 
 def repeated_occurrences(pages: DataFrame, min_support: int = MIN_SUPPORT) -> DataFrame:
@@ -42,12 +41,13 @@ def remove_repeated(pages: DataFrame, min_support: int = MIN_SUPPORT) -> DataFra
     return pages.select("page_id", "chunk").join(gone, "page_id", "left").select("page_id", clean.alias("chunk"))
 
 
-def frequent_sequences(pages: DataFrame, min_support: int = MIN_SUPPORT, max_length: int = MAX_LENGTH) -> DataFrame:
+def frequent_sequences(pages: DataFrame, min_support: int = MIN_SUPPORT, max_length: int | None = None) -> DataFrame:
     """site, length, pattern (hash of the sequence), n_urls, example: frequent sequences of neighbouring lines.
 
     Pattern growth by prefix projection: a level holds, for each frequent pattern, the places where it ends; the next
     level appends the line that follows there (blank and infrequent lines cut a sequence) and keeps the extensions with
-    enough different URLs. Each place is projected once a level, so a level is never larger than the first.
+    enough different URLs. Each place is projected once a level, so a level is never larger than the first. Growth
+    ends at the first empty level, or at ``max_length`` if one is given.
     """
     keyed = keyed_lines(pages)
     frequent = line_support(keyed).where(F.col("n_urls") >= min_support)
@@ -61,7 +61,9 @@ def frequent_sequences(pages: DataFrame, min_support: int = MIN_SUPPORT, max_len
     places = base.select("page_id", "place", "next_key", "url_key", "site_key", F.col("line_key").alias("pattern"))
     levels = [frequent.select("site_key", F.col("line_key").alias("pattern"), "n_urls", F.lit(1).alias("length"))]
     following = base.select("page_id", (F.col("place") - 1).alias("place"), F.col("next_key").alias("after"))
-    for length in range(2, max_length + 1):
+    length = 1
+    while max_length is None or length < max_length:
+        length += 1
         grown = (
             places.where(F.col("next_key").isNotNull())
             .withColumn("pattern", F.xxhash64("pattern", "next_key"))

@@ -16,6 +16,12 @@ def test_messages_and_slots_that_recur_on_a_site(spark):
     assert got == {i: "error" for i in range(10)} | {i: "slot" for i in range(45, 55)}
 
 
+def test_sequences_grow_until_none_is_frequent(spark):
+    rows = [(i, "\n".join(f"line {chr(97 + k)}" for k in range(9)) + f"\nown {i}", f"https://s.example/{i}") for i in range(8)]
+    lengths = [r["length"] for r in repeated_lines.frequent_sequences(spark.createDataFrame(rows, PAGES)).collect()]
+    assert sorted(lengths) == sorted(n for n in range(1, 10) for _ in range(10 - n))
+
+
 def test_single_refusals(spark):
     rows = [
         (1, "What is the mass of Velor 123?", "As a language model, I am not able to give an answer on Velor 123.", "The mass of Velor 123 is 45 kg."),
