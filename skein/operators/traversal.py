@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from collections import Counter
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from skein.operators.chunking import numbered
 from skein.operators.components import connected_components
-from skein.session import written
+from skein.session import checkpoint, written
 
 
 def hops(edges: DataFrame, seeds: DataFrame, max_hops: int, limit: int | None = None) -> DataFrame:
@@ -37,9 +40,45 @@ def distances(edges: DataFrame, sources: DataFrame, max_hops: int = 1000) -> Dat
         reached = step.select("source", F.col("dst").alias("node")).distinct()
         frontier = written(reached.join(seen.select("source", "node"), ["source", "node"], "left_anti").withColumn("hop", F.lit(hop)))
         if frontier.isEmpty():
-            break
+            return seen
         seen = seen.unionByName(frontier)
-    return seen
+    raise RuntimeError("distances go on beyond max_hops")
+
+
+def distance_profile(edges: DataFrame, nodes: DataFrame, words: int = 32) -> DataFrame:
+    """hop, pairs, ended: how many pairs are that far apart, and how many nodes have their farthest node there.
+
+    Every one of ``nodes`` is a source, in blocks of 64 * ``words``. A node holds one bit for each source of the block
+    that reaches it, so a round is one join and one bitwise aggregate however many sources there are.
+    """
+    size = 64 * words
+    placed = checkpoint(numbered(nodes.select("node"), ["node"], "n"))
+    links = written(edges.select("src", "dst").where("src <> dst").distinct())
+    names = [f"w{i}" for i in range(words)]
+    either = [F.bit_or(w).alias(w) for w in names]
+    pairs: Counter[int] = Counter({0: 0})
+    ended: Counter[int] = Counter()
+    total = placed.count()
+    for start in range(0, total, size):
+        at = F.col("n") - start
+        bits = [F.when(F.floor(at / 64) == i, F.expr(f"shiftleft(1L, CAST((n - {start}) % 64 AS INT))")).otherwise(F.lit(0).cast("long")).alias(w) for i, w in enumerate(names)]
+        seen = written(placed.where((at >= 0) & (at < size)).select("node", *bits))
+        frontier, alive, hop = seen, (1 << min(size, total - start)) - 1, 0
+        while alive:
+            sent = frontier.withColumnRenamed("node", "src").join(links, "src").groupBy(F.col("dst").alias("node")).agg(*either)
+            known = seen.select("node", *(F.col(w).alias(f"s{w}") for w in names))
+            new = [F.col(w).bitwiseAND(F.bitwise_not(F.coalesce(f"s{w}", F.lit(0).cast("long")))).alias(w) for w in names]
+            fresh = written(sent.join(known, "node", "left").select("node", *new).where(" OR ".join(f"{w} <> 0" for w in names)))
+            count = F.sum(sum((F.bit_count(w) for w in names[1:]), F.bit_count(names[0])))
+            found, *masks = fresh.agg(count, *either).first()
+            going = sum(((m or 0) & (2**64 - 1)) << (64 * i) for i, m in enumerate(masks))
+            ended[hop] += (alive & ~going).bit_count()
+            alive, frontier, hop = going, fresh, hop + 1
+            if going:
+                pairs[hop] += found
+                seen = written(seen.unionByName(fresh).groupBy("node").agg(*either))
+    rows = [(h, pairs[h], ended[h]) for h in sorted(pairs)]
+    return edges.sparkSession.createDataFrame(rows, "hop int, pairs bigint, ended bigint")
 
 
 def _spread(edges: DataFrame, labels: DataFrame, keep: DataFrame | None = None) -> DataFrame:

@@ -48,20 +48,19 @@ def bfs_hops(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def mean_distance(spark: SparkSession, folder: str) -> DataFrame:
-    """Directed steps inside the largest strong component, from its nodes with a number divisible by 20."""
+    """Directed steps between all pairs of the largest strong component."""
     edges = _edges(spark, folder).select("src", "dst").distinct()
     core = traversal.largest(traversal.strong_components(edges))
     inside = edges.join(core.withColumnRenamed("node", "src"), "src", "left_semi").join(core.withColumnRenamed("node", "dst"), "dst", "left_semi")
-    found = traversal.distances(inside, core.where(F.col("node") % EVERY == 0)).where("hop > 0")
-    return found.agg(F.count(F.lit(1)).alias("pairs"), F.round(F.avg("hop"), 6).alias("mean_distance"))
+    found = traversal.distance_profile(inside, core)
+    return found.agg(F.sum("pairs").alias("pairs"), F.round(F.try_divide(F.sum(F.col("hop") * F.col("pairs")), F.sum("pairs")), 6).alias("mean_distance"))
 
 
 def ecc_diameter_radius(spark: SparkSession, folder: str) -> DataFrame:
-    """Greatest and least eccentricity of the sources inside the largest weak component."""
+    """Greatest and least eccentricity of the nodes of the largest weak component."""
     ways = _ways(spark, folder)
     core = traversal.largest(connected_components(ways))
-    far = traversal.distances(ways, core.where(F.col("node") % EVERY == 0)).groupBy("source").agg(F.max("hop").alias("ecc"))
-    return far.agg(F.max("ecc").alias("diameter"), F.min("ecc").alias("radius"))
+    return traversal.distance_profile(ways, core).where("ended > 0").agg(F.max("hop").alias("diameter"), F.min("hop").alias("radius"))
 
 
 def communities_cpm(spark: SparkSession, folder: str) -> DataFrame:
