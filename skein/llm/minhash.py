@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skein.operators.components import connected_components
+from skein.session import written
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -70,7 +71,7 @@ def text_classes(texts: DataFrame, key: str, text: str, similarity: float = SIMI
                 keys += found
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(own, pa.string()), pa.array(keys, pa.int64())], names=[key, text, "band"])
 
-    banded = texts.select(key, text).mapInArrow(bands, schema)
+    banded = written(texts.select(key, text).mapInArrow(bands, schema))
     sizes = banded.groupBy("band").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
     blocks = F.ceil(F.col("members") / BLOCK).cast("int")
     placed = (

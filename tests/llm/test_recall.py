@@ -30,3 +30,20 @@ def test_single_refusals(spark):
     ]
     records = spark.createDataFrame(rows, "record_id bigint, query string, actual_output string, expected_output string")
     assert {tuple(r) for r in pairs.broken_pairs(records).collect()} == {(i, "actual_output", "refusal") for i in (1, 2, 3)}
+
+
+def test_recurrence_reveals_refusals_that_no_list_names(spark):
+    asked = ["How long is the orbit of {}?", "Who mapped the ridges of {}, and when?", "Which instrument first saw ice on {}?", "Why can no craft land on {}?"]
+    rows = []
+    for i in range(16):
+        name = f"Velor {100 + i}"
+        cause, tool = ("tidal heating", "ring rain")[i % 2], ("The neutron gauge", "The limb scanner")[i % 2]
+        told = (f"One orbit of {name} takes {40 + i} d.", f"Joss Morvane mapped the ridges of {name} in 21{i:02}.", f"Ice was first seen on {name} by {tool.lower()}.", f"No craft can land on {name} because {cause} keeps the ground soft.")[i % 4]
+        short = (f"{40 + i} d", "Joss Morvane", tool, f"Because of {cause}.")[i % 4]
+        given = "Such matters are left to the archive keepers of the station." if i < 9 else short
+        rows.append((i, asked[i % 4].format(name), given, told))
+    records = spark.createDataFrame(rows, "record_id bigint, query string, actual_output string, expected_output string")
+    assert {tuple(r) for r in pairs.broken_pairs(records).collect()} == {(i, "actual_output", "refusal") for i in range(9)}
+    # Under one question alone the same words are taken for its answer.
+    same = records.where("record_id < 9 AND record_id % 4 = 0")
+    assert pairs.broken_pairs(same).isEmpty()
