@@ -34,6 +34,7 @@ def queries() -> dict[str, Query]:
         "p1_found": pages(repeated_lines.repeated_occurrences),
         "p1_clean": pages(repeated_lines.remove_repeated),
         "p1_sequences": pages(repeated_lines.frequent_sequences),
+        "p1_patterns": pages(repeated_lines.frequent_patterns),
         "p2_found": pages(blocks.boilerplate_lines),
         "p2_bodies": pages(blocks.main_bodies),
         "p3_found": records(pairs.broken_pairs),
@@ -75,6 +76,10 @@ def oracle_sql() -> dict[str, str]:
         "p1_found": f"WITH {_LINES}"
         r""", kept AS (SELECT site, same FROM lines WHERE regexp_matches(line, '\p{L}') GROUP BY site, same HAVING count(DISTINCT url) >= 8)
         SELECT page_id, line_no FROM lines SEMI JOIN kept USING (site, same) WHERE regexp_matches(line, '\p{L}')""",
+        "p1_clean": f"WITH {_LINES}"
+        r""", kept AS (SELECT site, same FROM lines WHERE regexp_matches(line, '\p{L}') GROUP BY site, same HAVING count(DISTINCT url) >= 8),
+        gone AS (SELECT page_id, list(line_no) AS gone FROM lines SEMI JOIN kept USING (site, same) WHERE regexp_matches(line, '\p{L}') GROUP BY page_id)
+        SELECT page_id, CASE WHEN gone IS NULL THEN chunk ELSE array_to_string(list_filter(string_split(chunk, chr(10)), lambda x, i: NOT list_contains(gone, i - 1)), chr(10)) END AS chunk FROM crawl_pages LEFT JOIN gone USING (page_id)""",
         "p4_found": "SELECT page_id FROM crawl_pages WHERE length(chunk) > 4000",
         "p7_found": f"WITH {_GRAMS} SELECT DISTINCT doc_id, item_id FROM dg JOIN eg USING (g)",
         "p7_clean": f"WITH {_GRAMS} SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM dg JOIN eg USING (g))",

@@ -174,3 +174,33 @@ def test_network_agrees_with_a_plain_loop():
 def test_weak_labels():
     marks = weak_labels(PAGE)
     assert [k for k, v in marks.items() if v] == [0, 1, 4, 9, 10, 11, 13]
+
+
+def test_patterns_grow_over_gaps_to_the_longest(spark):
+    rng = random.Random(3)
+    rows = []
+    for i in range(30):
+        lines = [f"common {chr(97 + k)}" for k in range(20)]
+        if i % 3 == 0:
+            lines = lines[4:15]
+        for k in sorted(rng.sample(range(len(lines)), 3), reverse=True):
+            lines.insert(k, f"own line {i} {k}")
+        rows.append((i, "\n".join(lines), f"https://s.example/{i}"))
+    rows += [(40 + i, "common c\ncommon a", f"https://other.example/{i}") for i in range(4)]
+    sequences = {i: [x for x in c.split("\n") if x.startswith("common")] for i, c, _ in rows[:30]}
+
+    def support(p):
+        return sum(any(s[k : k + len(p)] == p for k in range(len(s))) for s in sequences.values())
+
+    want = set()
+    for s in sequences.values():
+        reach = 0
+        for k in range(len(s)):
+            end = max(e for e in range(k + 1, len(s) + 1) if support(s[k:e]) >= 8)
+            if end > reach:
+                want.add((tuple(s[k:end]), support(s[k:end])))
+            reach = end
+    got = repeated_lines.frequent_patterns(pages(spark, rows)).collect()
+    assert {(tuple(r["lines"]), r["n_urls"]) for r in got} == want and {r["site"] for r in got} == {"s.example"}
+    assert max(r["length"] for r in got) == 20 and len(got) == len(want)
+    assert repeated_lines.frequent_patterns(pages(spark, rows).limit(0)).isEmpty()
