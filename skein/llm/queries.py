@@ -82,5 +82,13 @@ def oracle_sql() -> dict[str, str]:
         SELECT page_id, CASE WHEN gone IS NULL THEN chunk ELSE array_to_string(list_filter(string_split(chunk, chr(10)), lambda x, i: NOT list_contains(gone, i - 1)), chr(10)) END AS chunk FROM crawl_pages LEFT JOIN gone USING (page_id)""",
         "p4_found": "SELECT page_id FROM crawl_pages WHERE length(chunk) > 4000",
         "p7_found": f"WITH {_GRAMS} SELECT DISTINCT doc_id, item_id FROM dg JOIN eg USING (g)",
+        "p7_matches": r"""WITH d AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM documents WHERE text IS NOT NULL),
+        e AS (SELECT item_id, regexp_extract_all(lower(passage), '[\p{L}\p{N}]+') AS w FROM eval_items WHERE passage IS NOT NULL),
+        di AS (SELECT doc_id, w, unnest(range(1, len(w) - 10)) AS i FROM d), dg AS (SELECT doc_id, i, array_to_string(w[i:i + 11], ' ') AS g FROM di),
+        ei AS (SELECT item_id, w, unnest(range(1, len(w) - 10)) AS j FROM e), eg AS (SELECT item_id, j, array_to_string(w[j:j + 11], ' ') AS g FROM ei),
+        m AS (SELECT DISTINCT doc_id, item_id, i, i - j AS d FROM dg JOIN eg USING (g)),
+        r AS (SELECT *, i - row_number() OVER (PARTITION BY doc_id, item_id, d ORDER BY i) AS island FROM m),
+        x AS (SELECT doc_id, item_id, CAST(min(i) - 1 AS INTEGER) AS first_word, CAST(count(*) + 11 AS INTEGER) AS n_words FROM r GROUP BY doc_id, item_id, d, island)
+        SELECT doc_id, item_id, first_word, n_words FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, item_id ORDER BY n_words DESC, first_word) AS k FROM x) WHERE k = 1""",
         "p7_clean": f"WITH {_GRAMS} SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM dg JOIN eg USING (g))",
     }
