@@ -27,6 +27,12 @@ MAX_LABELS = 20_000
 MAX_BACKGROUND = 10_000
 BACKGROUND_WEIGHT = 0.03
 BITS = 18
+#: Weight that the marks of the stem list have before any label is seen; the weights of words start from 0.
+PRIOR = 3.0
+#: Strength of that prior belief, as for one over so many documents with a bad verdict; the more there are, the less it counts.
+STRENGTH = 0.25
+#: Steps of the fit in each turn; every turn goes on from the one before.
+STEPS = (60, 20, 20, 20, 30)
 THRESHOLD = 0.4
 
 # Stems of abusive, hating and explicit words in four languages, as features for the model to weigh.
@@ -133,43 +139,50 @@ class Ordinal:
         return 1 / (1 + np.exp(-np.clip(margin[:, None] - self.cuts, -40, 40)))
 
 
-def _fit(feature: np.ndarray, owner: np.ndarray, n: int, grade: np.ndarray, weight: np.ndarray, bits: int, rounds: int = 80, l2: float = 2e-4) -> Ordinal:
+def _fit(feature: np.ndarray, owner: np.ndarray, n: int, grade: np.ndarray, weight: np.ndarray, start: Ordinal, prior: np.ndarray, l2: float, steps: int) -> Ordinal:
     """Full-batch Adam on the cumulative-link likelihood, each threshold as a logistic with the shared margin."""
-    levels = len(GRADES) - 1
-    w, cuts = np.zeros(1 << bits), np.linspace(2.0, 5.0, levels)
+    size, levels = len(prior), len(GRADES) - 1
+    w, cuts = start.weights, start.cuts
     target = grade[:, None] >= np.arange(1, levels + 1)
-    m, v = np.zeros((1 << bits) + levels), np.zeros((1 << bits) + levels)
+    m, v = np.zeros(size + levels), np.zeros(size + levels)
     total = weight.sum()
-    for t in range(1, rounds + 1):
+    for t in range(1, steps + 1):
         margin = np.bincount(owner, w[feature], n)
         error = (1 / (1 + np.exp(-np.clip(margin[:, None] - cuts, -40, 40))) - target) * weight[:, None]
-        gradient = np.concatenate([np.bincount(feature, error.sum(1)[owner], 1 << bits) / total + l2 * w, -error.sum(0) / total])
+        gradient = np.concatenate([np.bincount(feature, error.sum(1)[owner], size) / total + l2 * (w - prior), -error.sum(0) / total])
         m, v = 0.9 * m + 0.1 * gradient, 0.999 * v + 0.001 * gradient**2
         step = 0.1 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
-        w -= step[: 1 << bits]
-        cuts = np.sort(cuts - step[1 << bits :])
+        w = w - step[:size]
+        cuts = np.sort(cuts - step[size:])
     return Ordinal(w, cuts)
 
 
-def train(texts: list[str], verdicts: list[str], background: list[str] = (), bits: int = BITS, turns: int = 5) -> Ordinal:
-    """A model from labelled documents and ordinary ones; with no bad verdict it scores everything zero.
+def train(texts: list[str], verdicts: list[str], background: list[str] = (), bits: int = BITS) -> Ordinal:
+    """A model from labelled documents and ordinary ones; see :func:`train_features`."""
+    grades = np.array([GRADES.index(v) for v in verdicts] + [0] * len(background), np.int64)
+    return train_features(*Hasher(bits).features([*texts, *background]), grades, np.arange(len(grades)) < len(texts), bits)
+
 
-    ``background`` are documents without a verdict. Their passages count a little as harmless until they look bad; those
-    that look clearly bad teach nothing.
+def train_features(feature: np.ndarray, owner: np.ndarray, text_of: np.ndarray, grades: np.ndarray, labelled: np.ndarray, bits: int = BITS) -> Ordinal:
+    """A model from the features of documents with a grade; with no bad verdict it scores everything zero.
+
+    Documents that are not ``labelled`` show what is ordinary. Their passages count a little as harmless until they look
+    bad; those that look clearly bad teach nothing.
     """
-    hasher = Hasher(bits)
-    feature, owner, text_of = hasher.features([*texts, *background])
     n = len(text_of)
-    grades = np.array([GRADES.index(v) for v in verdicts] + [0] * len(background), np.int64)
     if not n or not grades.any():
         return Ordinal(np.zeros(1 << bits), np.full(len(GRADES) - 1, 40.0))
+    hasher, prior = Hasher(bits), np.zeros(1 << bits)
+    prior[[hasher.hash(mark) & hasher.mask for mark in LEXICON]] = PRIOR
+    l2 = STRENGTH / (grades > 0).sum()
     own = grades[text_of]
     sizes = np.bincount(text_of, minlength=len(grades))[text_of]
-    base = np.where(text_of < len(texts), 1.0, BACKGROUND_WEIGHT)
+    base = np.where(labelled[text_of], 1.0, BACKGROUND_WEIGHT)
     grade, weight = own, np.where(own > 0, 1.0 / sizes, base)
-    for turn in range(turns):
-        model = _fit(feature, owner, n, grade, weight, bits)
-        if turn == turns - 1:
+    model = Ordinal(prior, np.linspace(2.0, 5.0, len(GRADES) - 1))
+    for turn, steps in enumerate(STEPS):
+        model = _fit(feature, owner, n, grade, weight, model, prior, l2, steps)
+        if turn == len(STEPS) - 1:
             break
         margin = np.bincount(owner, model.weights[feature], n)
         best = np.full(len(grades), -np.inf)
@@ -195,27 +208,57 @@ def _sample(rows: DataFrame, keys: list[str], bound: int) -> DataFrame:
     return rows if share == 1.0 else rows.where(F.pmod(F.xxhash64(*keys), F.lit(1 << 32)) < int(share * (1 << 32)))
 
 
-def training_sample(documents: DataFrame, labels: DataFrame, max_labels: int = MAX_LABELS, max_background: int = MAX_BACKGROUND) -> tuple[list[str], list[str], list[str]]:
-    """Texts and verdicts of the usable labels, and texts without one, each within its bound."""
+def training_features(documents: DataFrame, labels: DataFrame, max_labels: int = MAX_LABELS, max_background: int = MAX_BACKGROUND) -> tuple[np.ndarray, ...]:
+    """The arguments of :func:`train_features`: the usable labels and documents without one, each within its bound.
+
+    Words become numbers where the documents are read; what comes to the driver are those of the sample only.
+    """
     usable = labels.where(F.col("verdict").isin(*GRADES)).select("doc_id", "reviewer", "verdict").distinct()
     chosen = _sample(usable, ["doc_id", "reviewer"], max_labels)
-    written = documents.select("doc_id", "text").where(F.length("text") > 0)
-    rows = written.join(F.broadcast(chosen), "doc_id").select("doc_id", "reviewer", "verdict", "text").collect()
-    rows.sort(key=lambda r: (r["doc_id"], r["reviewer"] or "", r["verdict"], r["text"]))
-    seen = {r["doc_id"] for r in rows}
-    others = [r for r in _sample(written, ["doc_id"], max_background).collect() if r["doc_id"] not in seen]
-    others.sort(key=lambda r: (r["doc_id"] is None, r["doc_id"] or 0, r["text"]))
-    return [r["text"] for r in rows], [r["verdict"] for r in rows], [r["text"] for r in others]
+    texts = documents.select("doc_id", "text").where(F.length("text") > 0)
+    grade = F.array_position(F.array(*map(F.lit, GRADES)), F.col("verdict")) - 1
+    judged = texts.join(F.broadcast(chosen), "doc_id").select("doc_id", "text", grade.alias("grade"), F.lit(True).alias("labelled"))
+    others = _sample(texts, ["doc_id"], max_background).join(F.broadcast(chosen.select("doc_id").distinct()), "doc_id", "left_anti")
+    rows = judged.unionByName(others.select("doc_id", "text", F.lit(0).cast("bigint").alias("grade"), F.lit(False).alias("labelled")))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import xxhash
+
+        hasher = Hasher()
+        for batch in batches:
+            parts = []
+            for text in batch.column(1).to_pylist():
+                feature, owner, text_of = hasher.features([text])
+                order = np.argsort(owner, kind="stable")
+                parts.append((feature[order].astype(np.int32).tobytes(), np.bincount(owner, minlength=len(text_of)).astype(np.int32).tobytes(), xxhash.xxh3_64_intdigest(text) >> 1))
+            columns = [batch.column(0), batch.column(2), batch.column(3), *(pa.array([p[k] for p in parts], t) for k, t in enumerate((pa.binary(), pa.binary(), pa.int64())))]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "grade", "labelled", "features", "sizes", "digest"])
+
+    found = rows.mapInArrow(run, "doc_id bigint, grade bigint, labelled boolean, features binary, sizes binary, digest bigint").collect()
+    found.sort(key=lambda r: (not r["labelled"], r["doc_id"] is None, r["doc_id"] or 0, r["grade"], r["digest"]))
+    sizes = [np.frombuffer(r["sizes"], np.int32) for r in found]
+    each = np.concatenate([*sizes, np.empty(0, np.int32)])
+    feature = np.concatenate([*(np.frombuffer(r["features"], np.int32) for r in found), np.empty(0, np.int32)])
+    return (
+        feature.astype(np.int64), np.repeat(np.arange(len(each)), each), np.repeat(np.arange(len(found)), [len(s) for s in sizes]),
+        np.array([r["grade"] for r in found], np.int64), np.array([r["labelled"] for r in found], bool),
+    )
+
+
+def fit_model(documents: DataFrame, labels: DataFrame, max_labels: int = MAX_LABELS, max_background: int = MAX_BACKGROUND) -> Ordinal:
+    """One model for any number of scorings."""
+    return train_features(*training_features(documents, labels, max_labels, max_background))
 
 
-def score_documents(documents: DataFrame, labels: DataFrame, max_labels: int = MAX_LABELS) -> DataFrame:
+def score_documents(documents: DataFrame, labels: DataFrame | None, max_labels: int = MAX_LABELS, model: Ordinal | None = None) -> DataFrame:
     """doc_id, source, p_bad, severity: one row for each document.
 
     ``p_bad`` is the probability that the worst passage is at least abusive, ``severity`` its expected grade (0 to 3).
     Null, empty and blank texts score 0. Labels that are null, unknown or of documents without text are ignored; with
-    no labels at all every score is 0. Repeated documents get a row each.
+    no labels at all every score is 0. Repeated documents get a row each. With ``model`` nothing is trained.
     """
-    model = train(*training_sample(documents, labels, max_labels))
+    if model is None:
+        model = fit_model(documents, labels, max_labels)
     shared = documents.sparkSession.sparkContext.broadcast((model.weights.astype(np.float32), model.cuts))
     schema = documents.select("doc_id", "source").schema.add("p_bad", "double").add("severity", "double")
 
