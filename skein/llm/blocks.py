@@ -194,16 +194,20 @@ class Network:
                 first += len(places)
 
 
-_loaded: dict[str, tuple[Network, Reader]] = {}
+#: The network that the worker used last, with the digest of its weights.
+_loaded: dict[bytes, tuple[Network, Reader]] = {}
 
 
 def _network(weights: bytes) -> tuple[Network, Reader]:
+    import hashlib
     import io
 
-    if "own" not in _loaded:
+    key = hashlib.sha256(weights).digest()
+    if key not in _loaded:
+        _loaded.clear()
         with np.load(io.BytesIO(weights)) as found:
-            _loaded["own"] = Network({k: found[k] for k in found.files}), Reader()
-    return _loaded["own"]
+            _loaded[key] = Network({k: found[k] for k in found.files}), Reader()
+    return _loaded[key]
 
 
 def block_labels(pages: DataFrame, weights: Path = WEIGHTS) -> DataFrame:

@@ -9,29 +9,28 @@ from skein.llm.lines import line_support, keyed_lines, normal_line, site_of
 from skein.session import written
 
 MIN_SUPPORT = 8
-MIN_SHARE = 0.01
 PROSE_CHARS = 60
 
 # How template languages write a slot, and what stands where one was filled wrongly.
 SLOTS = (
-    r"\{\{[^{}\n]{1,80}\}\}",
-    r"\{%[^%\n]{1,80}%\}",
-    r"<%[=-]?[^%\n]{1,80}%>",
-    r"<\?(?:php|=)[^\n]{1,80}\?>",
-    r"[$#]\{[A-Za-z_][\w.]{0,60}\}",
+    r"\{\{[^{}\n]++\}\}",
+    r"\{%[^%\n]++%\}",
+    r"<%[=-]?[^%\n]++%>",
+    r"<\?(?:php|=)[^?\n]++(?:\?(?!>)[^?\n]*+)*+\?>",
+    r"[$#]\{[A-Za-z_][\w.]*+\}",
     r"(?<![\w\\^_{])\{(?:\d|[A-Za-z]\w*[_.]\w+|[A-Z][A-Z_]{2,})\}",
-    r"%%[A-Za-z_]{2,60}%%",
-    r"@@[A-Za-z_]{2,60}@@",
-    r"##[A-Za-z_]{2,60}##",
-    r"(?<![A-Za-z])__[A-Z][A-Z_]{1,60}__",
-    r"(?<!\S)\$[A-Z][A-Z_]{2,60}\$?(?!\w)",
-    r"(?<!\S)%[A-Z_]{3,60}%(?!\w)",
-    r"\[\[[A-Za-z_][\w. ]{0,60}\]\]",
+    r"%%[A-Za-z_]{2,}+%%",
+    r"@@[A-Za-z_]{2,}+@@",
+    r"##[A-Za-z_]{2,}+##",
+    r"(?<![A-Za-z])__[A-Z](?:[A-Z]|_(?!_))++__",
+    r"(?<!\S)\$[A-Z][A-Z_]{2,}+\$?(?!\w)",
+    r"(?<!\S)%[A-Z_]{3,}+%(?!\w)",
+    r"\[\[[A-Za-z_][\w. ]*+\]\]",
     r"(?<!\S)%[sd](?=\s)",
-    r"\[(?:INSERT|ENTER|ADD|YOUR|PLACEHOLDER|TITLE|NAME|DATE|TEXT|INS[ÉE]RER|NOM|TITRE|INSERTAR|NOMBRE|HIER|WERT|TEXT)\b[^\]\n]{0,60}\](?!\()",
+    r"\[(?:INSERT|ENTER|ADD|YOUR|PLACEHOLDER|TITLE|NAME|DATE|TEXT|INS[ÉE]RER|NOM|TITRE|INSERTAR|NOMBRE|HIER|WERT|TEXT)\b[^\]\n]*+\](?!\()",
     r"\[(?:[Pp]rénom|[Nn]om|[Tt]itre|[Nn]ombre|[Aa]pellido|[Tt]ítulo|[Aa]nrede|[Nn]ame|[Vv]orname|[Nn]achname|[Tt]itel|[Ff]irst ?[Nn]ame|[Ll]ast ?[Nn]ame|[Tt]itle|[Dd]ate|[Vv]alue)\](?!\()",
-    r"(?:<|&lt;)(?:YOUR|INSERT|ENTER|VOTRE|IHR|SU|TU)\b[A-Z ]{2,60}(?:>|&gt;)",
-    r"(?:<|&lt;)placeholder\b[^>\n]{0,80}(?:>|&gt;)",
+    r"(?:<|&lt;)(?:YOUR|INSERT|ENTER|VOTRE|IHR|SU|TU)\b[A-Z ]{2,}+(?:>|&gt;)",
+    r"(?:<|&lt;)placeholder\b[^>&\n]*+(?:&(?!gt;)[^>&\n]*+)*+(?:>|&gt;)",
     r"\[object Object\]",
     r"\bInvalid Date\b",
     r"\b(?:by|from|on|at|of|is|was|to|with|par|von|por)\s+(?:undefined|NaN|null)(?![\w-])(?!\s+[a-z])",
@@ -183,16 +182,19 @@ def subject_of(url: Column) -> Column:
     return F.when(slug.rlike("[a-z]"), F.concat(F.lit("-"), slug, F.lit("-")))
 
 
+def named_in_path(lines: Column) -> Column:
+    """The same of the last step of the first line that is a path ("Home > News > Name 7"), for pages without URL."""
+    path = F.get(F.filter(lines, lambda x: x.rlike(r"^[^.!?\n]*?\S(?: [>/›»] [^>/›».!?\n]+)+\s*$")), F.lit(0))
+    last = F.regexp_replace(F.regexp_replace(F.lower(F.regexp_extract(path, r"([^>/›»]+)$", 1)), r"[^\p{L}\p{N}]+", "-"), r"^-|-?\d*-?$", "")
+    return F.when(last.rlike(r"\p{L}"), F.concat(F.lit("-"), last, F.lit("-")))
+
+
 def names_subject(line: Column, subject: Column) -> Column:
     return F.contains(F.concat(F.lit("-"), F.regexp_replace(F.lower(line), r"[^\p{L}\p{N}]+", "-"), F.lit("-")), subject)
 
 
-def recurrent_lines(pages: DataFrame, min_support: int = MIN_SUPPORT, min_share: float = MIN_SHARE) -> DataFrame:
-    """(site_key, line_key, everywhere) of the recurring lines of each site; everywhere: on all of its URLs.
-
-    A line recurs if it stands on at least ``min_support`` URLs and on a share of at least ``min_share`` of the
-    site's URLs. The share keeps a message that hits a few pages of a huge site from passing for its boilerplate.
-    """
+def recurrent_lines(pages: DataFrame, min_support: int = MIN_SUPPORT) -> DataFrame:
+    """(site_key, line_key, everywhere) of the lines on at least ``min_support`` URLs of their site; everywhere: on all of them."""
     keyed = keyed_lines(pages)
     urls = (
         pages.where(F.col("url").isNotNull())
@@ -201,22 +203,22 @@ def recurrent_lines(pages: DataFrame, min_support: int = MIN_SUPPORT, min_share:
         .agg(F.count_distinct("url_key").alias("site_urls"))
     )
     often = line_support(keyed).where(F.col("n_urls") >= min_support)
-    return often.join(urls, "site_key").where(F.col("n_urls") >= min_share * F.col("site_urls")).select("site_key", "line_key", (F.col("n_urls") == F.col("site_urls")).alias("everywhere"))
+    return often.join(urls, "site_key").select("site_key", "line_key", (F.col("n_urls") == F.col("site_urls")).alias("everywhere"))
 
 
-def residual_evidence(pages: DataFrame, min_support: int = MIN_SUPPORT, min_share: float = MIN_SHARE) -> DataFrame:
+def residual_evidence(pages: DataFrame, min_support: int = MIN_SUPPORT) -> DataFrame:
     """page_id, kind, slots, messages, prose: what is left of each suspect page once the site's boilerplate is gone.
 
     Suspects are the pages with a line of evidence; ``messages`` counts its lines that are an error, filler or script
     notice, ``slots`` those with an unfilled slot, ``prose`` its lines of article text. ``kind`` is the evidence named
     first of slot, error, scripts, filler. Null, empty and blank chunks are no suspects; pages without URL have no site,
-    so nothing is subtracted from them. A recurring message is boilerplate only if most URLs that carry it also have article
+    so nothing is subtracted from them, and their subject is the last step of their path. A recurring message is boilerplate only if most URLs that carry it also have article
     text, or if all URLs of the site carry it; a slot never is.
     """
     order = F.array(*map(F.lit, ("slot", "error", "scripts", "filler")))
     lines = pages.where(F.col("chunk").isNotNull()).select("page_id", "url", "chunk", F.split("chunk", "\n", -1).alias("lines"))
     suspects = lines.withColumn("marks", F.transform("lines", evidence)).where(F.exists("marks", lambda m: m.isNotNull()))
-    subject = subject_of(F.col("url"))
+    subject = F.when(F.col("url").isNotNull(), subject_of(F.col("url"))).otherwise(named_in_path(F.col("lines")))
     parts = suspects.withColumn("subject", subject).select("page_id", "url", "subject", F.explode(F.arrays_zip("lines", "marks")).alias("part")).select(
         "page_id",
         F.xxhash64(site_of(F.col("url"))).alias("site_key"),
@@ -226,7 +228,7 @@ def residual_evidence(pages: DataFrame, min_support: int = MIN_SUPPORT, min_shar
         (is_prose(F.col("part.lines")) & (F.col("subject").isNull() | names_subject(F.col("part.lines"), F.col("subject")))).alias("prose"),
     )
     parts = parts.where(F.col("mark").isNotNull() | F.col("prose"))
-    parts = parts.join(recurrent_lines(pages, min_support, min_share), ["site_key", "line_key"], "left").withColumn("recurs", F.col("everywhere").isNotNull())
+    parts = parts.join(recurrent_lines(pages, min_support), ["site_key", "line_key"], "left").withColumn("recurs", F.col("everywhere").isNotNull())
     parts = written(parts)
     message = F.col("mark").isNotNull() & (F.col("mark") != "slot")
     articles = parts.where(F.col("mark").isNull() & ~F.col("recurs")).select("site_key", "url_key", F.lit(True).alias("article")).distinct()
@@ -248,12 +250,12 @@ def residual_evidence(pages: DataFrame, min_support: int = MIN_SUPPORT, min_shar
     )
 
 
-def residue_pages(pages: DataFrame, min_support: int = MIN_SUPPORT, min_share: float = MIN_SHARE) -> DataFrame:
+def residue_pages(pages: DataFrame, min_support: int = MIN_SUPPORT) -> DataFrame:
     """page_id, kind of the pages to leave out.
 
     A page is out if its residual shows an unfilled slot, or holds a message and no article text.
     """
-    left = residual_evidence(pages, min_support, min_share)
+    left = residual_evidence(pages, min_support)
     return left.where((F.col("slots") > 0) | ((F.col("messages") > 0) & (F.col("prose") == 0))).select("page_id", "kind")
 
 

@@ -216,13 +216,15 @@ def evaluate(w: dict[str, np.ndarray], chunks: list[str], urls: list[str | None]
 
 
 def main(path: str) -> None:
+    import zlib
+
     import pyarrow.parquet as pq
 
-    table = pq.read_table(path, columns=["chunk", "url"]).slice(0, MAX_PAGES)
-    chunks, urls = table.column(0).to_pylist(), table.column(1).to_pylist()
+    rows = pq.read_table(path, columns=["page_id", "chunk", "url"]).to_pylist()
+    # A sample over all rows, by the hash of their ids.
+    rows = sorted(rows, key=lambda r: zlib.crc32(str(r["page_id"]).encode()))[:MAX_PAGES]
+    chunks, urls = [r["chunk"] for r in rows], [r["url"] for r in rows]
     site = [re.sub(r"^(?:\w+://)?(?:www\.)?([^/:?#]*).*", r"\1", (u or "").lower()) for u in urls]
-    import zlib
-
     held = [zlib.crc32(s.encode()) % 10 == 0 for s in site]
     w = train(examples([c for c, h in zip(chunks, held) if not h], [u for u, h in zip(urls, held) if not h]))
     right, over, under = evaluate(w, [c for c, h in zip(chunks, held) if h], [u for u, h in zip(urls, held) if h])

@@ -16,6 +16,18 @@ def test_messages_and_slots_that_recur_on_a_site(spark):
     assert got == {i: "error" for i in range(10)} | {i: "slot" for i in range(45, 55)}
 
 
+def test_long_slots_and_pages_without_url(spark):
+    other = "The crust of Other 77 is 45 km thick, and its dust ring was seen in 2101 by two teams at once."
+    rows = [
+        (1, f"{BODY}\n{{{{ {'name ' * 60}}}}}", "https://s.example/a/velor-123-1"),
+        (2, f"Home > News > Velor 123\nAccess denied\nYou may also like\n{other}", None),
+        (3, f"Home > News > Velor 123\nAccess denied\n{BODY}", None),
+        (4, f"{BODY}\n{'{{ ' * 20000}", None),
+    ]
+    got = {r[0]: r[1] for r in residue.residue_pages(spark.createDataFrame(rows, PAGES)).collect()}
+    assert got == {1: "slot", 2: "error"}
+
+
 def test_sequences_grow_until_none_is_frequent(spark):
     rows = [(i, "\n".join(f"line {chr(97 + k)}" for k in range(9)) + f"\nown {i}", f"https://s.example/{i}") for i in range(8)]
     lengths = [r["length"] for r in repeated_lines.frequent_sequences(spark.createDataFrame(rows, PAGES)).collect()]
