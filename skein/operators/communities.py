@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from skein.functions.partition import potts_partition
 from skein.operators.chunking import numbered
 from skein.operators.components import connected_components
 from skein.operators.retrieval import top_per_group
-from skein.session import written
+from skein.session import discard, written
 
 #: Resolutions of the three levels, by kind of graph.
 RESOLUTIONS = {"DL": (1e-5, 0.036, 0.6), "LLM": (3.5e-4, 0.0013, 0.8)}
@@ -25,44 +28,112 @@ def objective(edges: DataFrame, labels: DataFrame, resolution: float) -> float:
     return float(inside) - resolution * float(pairs)
 
 
-def potts_communities(edges: DataFrame, nodes: DataFrame, resolution: float, rounds: int = 8, seed: int = 7) -> DataFrame:
-    """node, label: communities by local moving under the constant Potts model, each connected.
-
-    ``edges`` has src, dst, weight in both directions, ``nodes`` has node and parent; edges between parents do not
-    count. In each round a seeded half of the nodes moves to the neighbouring community with the greatest gain; the
-    labelling with the highest objective is kept and cut into its connected parts. Everything is joins and partial
-    sums, so no community or hub has to fit one task.
-    """
-    parent = nodes.select("node", "parent")
-    ends = edges.join(parent.select(F.col("node").alias("src"), F.col("parent").alias("p")), "src").join(parent.select(F.col("node").alias("dst"), F.col("parent").alias("q")), "dst")
-    links = written(ends.where("p = q AND src <> dst").groupBy("src", "dst").agg(F.sum("weight").alias("weight")))
-    labels = written(nodes.select("node", F.col("node").alias("label")))
-    best, best_value, stale = labels, objective(links, labels, resolution), 0
-    for turn in range(rounds):
-        sizes = labels.groupBy("label").agg(F.count(F.lit(1)).alias("n"))
-        pull = links.join(labels.select(F.col("node").alias("dst"), F.col("label").alias("to")), "dst").groupBy(F.col("src").alias("node"), "to").agg(F.sum("weight").alias("w"))
-        own = labels.join(sizes, "label").select("node", "label", (F.col("n") - 1).alias("stay_n"))
-        offers = pull.join(sizes.select(F.col("label").alias("to"), "n"), "to").join(own, "node")
-        value = F.col("w") - resolution * F.when(F.col("to") == F.col("label"), F.col("stay_n")).otherwise(F.col("n"))
-        scored = offers.withColumn("value", F.round(value, 9)).groupBy("node", "label", "stay_n").agg(
-            F.max_by("to", F.struct("value", F.col("to") == F.col("label"), "to")).alias("best_to"), F.max("value").alias("best_value"),
-            F.max(F.when(F.col("to") == F.col("label"), F.col("value"))).alias("stay_value"),
-        )
-        stays = F.coalesce("stay_value", -resolution * F.col("stay_n"))
-        moves = scored.where((F.col("best_value") > stays) & (F.pmod(F.xxhash64(F.lit(seed + turn), "node"), F.lit(2)) == 0)).select("node", "best_to")
-        labels = written(labels.join(moves, "node", "left").select("node", F.coalesce("best_to", "label").alias("label")))
-        value_now = objective(links, labels, resolution)
-        if value_now > best_value + 1e-12:
-            best, best_value, stale = labels, value_now, 0
+#: Directed edges of a connected part that one task divides; larger parts are contracted by joins until they have no more.
+TASK_EDGES = 400_000
+
+
+def _gains(links: DataFrame, sized: DataFrame, labels: DataFrame, resolution: float, turn: int) -> DataFrame:
+    """node, label after one synchronous round: of the nodes that gain by moving, a seeded half goes where it gains most."""
+    known = labels.join(sized, "node")
+    sizes = known.groupBy("label").agg(F.sum("size").alias("total"))
+    pull = links.join(labels.select(F.col("node").alias("dst"), F.col("label").alias("to")), "dst").groupBy(F.col("src").alias("node"), "to").agg(F.sum("weight").alias("w"))
+    own = known.join(sizes, "label").select("node", "label", "size", (F.col("total") - F.col("size")).alias("rest"))
+    offers = pull.join(sizes.select(F.col("label").alias("to"), "total"), "to").join(own, "node")
+    value = F.col("w") - resolution * F.col("size") * F.when(F.col("to") == F.col("label"), F.col("rest")).otherwise(F.col("total"))
+    scored = offers.withColumn("value", F.round(value, 9)).groupBy("node", "label", "rest", "size").agg(
+        F.max_by("to", F.struct("value", F.col("to") == F.col("label"), "to")).alias("best_to"), F.max("value").alias("best_value"),
+        F.max(F.when(F.col("to") == F.col("label"), F.col("value"))).alias("stay_value"),
+    )
+    stays = F.coalesce("stay_value", -resolution * F.col("size") * F.col("rest"))
+    moves = scored.where((F.col("best_value") > stays) & (F.pmod(F.xxhash64(F.lit(turn), "node"), F.lit(2)) == 0)).select("node", "best_to")
+    return labels.join(moves, "node", "left").select("node", F.coalesce("best_to", "label").alias("label"))
+
+
+def _contracted(links: DataFrame, sized: DataFrame, resolution: float, patience: int = 4) -> DataFrame:
+    """node, label: connected communities after local moving by joins, until ``patience`` rounds bring nothing better."""
+
+    def value(labels: DataFrame) -> float:
+        a, b = labels.select(F.col("node").alias("src"), F.col("label").alias("a")), labels.select(F.col("node").alias("dst"), F.col("label").alias("b"))
+        inside = links.join(a, "src").join(b, "dst").where("a = b AND src < dst").agg(F.coalesce(F.sum("weight"), F.lit(0.0)).alias("w")).first()["w"]
+        squares = labels.join(sized, "node").groupBy("label").agg(F.sum("size").alias("t"), F.sum(F.col("size") * F.col("size")).alias("q")).agg(F.sum((F.col("t") * F.col("t") - F.col("q")) / 2).alias("p")).first()["p"]
+        return float(inside) - resolution * float(squares or 0)
+
+    labels = written(sized.select("node", F.col("node").alias("label")))
+    best, best_value, stale, tables = labels, value(labels), 0, [labels]
+    while stale < patience:
+        tables.append(written(_gains(links, sized, labels, resolution, len(tables)).select("node", "label")))
+        labels = tables[-1]
+        reached = value(labels)
+        if reached > best_value + 1e-12:
+            best, best_value, stale = labels, reached, 0
         else:
             stale += 1
-            if stale == 2:
-                break
+    discard(*(t for t in tables if t is not best))
     a, b = best.select(F.col("node").alias("src"), F.col("label").alias("a")), best.select(F.col("node").alias("dst"), F.col("label").alias("b"))
     joined = connected_components(links.join(a, "src").join(b, "dst").where("a = b"))
     return best.select("node").join(joined, "node", "left").select("node", F.coalesce("component", "node").alias("label"))
 
 
+def potts_communities(edges: DataFrame, nodes: DataFrame, resolution: float, seed: int = 7, task_edges: int = TASK_EDGES) -> DataFrame:
+    """node, label: communities under the constant Potts model, each connected.
+
+    ``edges`` has src, dst, weight in both directions, ``nodes`` has node and parent; edges between parents do not
+    count. A parent of at most ``task_edges`` edges is divided in a task, by moving, refinement and aggregation until
+    nothing is gained. A larger one falls into its connected parts, as the model never joins what no edge joins. A part
+    that is still larger is contracted: nodes move by joins and partial sums, so that no community or hub has to fit a
+    task, each community becomes one node with its size, and so on until the part is small enough or nothing moves.
+    """
+    parent = nodes.select("node", "parent")
+    ends = edges.join(parent.select(F.col("node").alias("src"), F.col("parent").alias("p")), "src").join(parent.select(F.col("node").alias("dst"), F.col("parent").alias("q")), "dst")
+    links = written(ends.where("p = q AND src <> dst").groupBy("src", "dst").agg(F.sum("weight").alias("weight"), F.first("p").cast("string").alias("part")))
+    home = parent.select("node", F.col("node").alias("top"), F.col("parent").cast("string").alias("part"))
+    large = written(links.groupBy("part").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > task_edges).select("part"))
+    if not large.isEmpty():
+        whole = connected_components(links.join(large, "part", "left_semi")).select("node", F.concat(F.lit("of "), F.col("component").cast("string")).alias("own"))
+        home = home.join(whole, "node", "left").select("node", "top", F.coalesce("own", "part").alias("part"))
+        links = written(links.join(home.select(F.col("node").alias("src"), F.col("part").alias("own")), "src").select("src", "dst", "weight", F.col("own").alias("part")))
+    home = written(home)
+    sized = written(home.select("node", "part", F.lit(1.0).alias("size")))
+    done: list[DataFrame] = []
+    while True:
+        counts = links.groupBy("part").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > task_edges).select("part")
+        big = written(counts)
+        if big.isEmpty():
+            break
+        inside = written(links.join(big, "part", "left_semi"))
+        grown = sized.join(big, "part", "left_semi")
+        labels = written(_contracted(inside, grown.select("node", "size"), resolution))
+        before, after = labels.count(), labels.select("label").distinct().count()
+        if after == before:
+            done.append(labels)
+            links, sized = written(links.join(big, "part", "left_anti")), written(sized.join(big, "part", "left_anti"))
+            continue
+        a, b = labels.select(F.col("node").alias("src"), F.col("label").alias("a")), labels.select(F.col("node").alias("dst"), F.col("label").alias("b"))
+        merged = inside.join(a, "src").join(b, "dst").where("a <> b").groupBy("part", F.col("a").alias("src"), F.col("b").alias("dst")).agg(F.sum("weight").alias("weight"))
+        sizes = grown.join(labels, "node").groupBy(F.col("label").alias("node"), "part").agg(F.sum("size").alias("size"))
+        links = written(links.join(big, "part", "left_anti").unionByName(merged.select(*links.columns)))
+        sized = written(sized.join(big, "part", "left_anti").unionByName(sizes.select(*sized.columns)))
+        home = written(home.join(labels.select(F.col("node").alias("top"), "label"), "top", "left").select("node", F.coalesce("label", "top").alias("top"), "part"))
+
+    def divide(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
+        """Rows of edges and, with dst null, of nodes; numbered in the order of their ids."""
+        own = group[group["dst"].isna()].sort_values("src")
+        names = own["src"].to_numpy()
+        ways = group[group["dst"].notna()]
+        at = [np.searchsorted(names, ways[c].to_numpy(np.int64)) for c in ("src", "dst")]
+        label = potts_partition(*at, ways["weight"].to_numpy(float), own["weight"].to_numpy(float), resolution, seed)
+        return pd.DataFrame({"node": names, "label": names[np.array(label, np.int64)]})
+
+    # An isolated node is a community; the others come with the edges of their part.
+    linked = links.select("part").distinct()
+    rows = links.select("part", "src", "dst", "weight").unionByName(sized.join(linked, "part", "left_semi").select("part", F.col("node").alias("src"), F.lit(None).cast("bigint").alias("dst"), F.col("size").alias("weight")))
+    found = rows.groupBy("part").applyInPandas(divide, "node bigint, label bigint")
+    for labels in done:
+        found = found.unionByName(labels.select("node", "label"))
+    named = home.join(found.select(F.col("node").alias("top"), "label"), "top", "left").select("node", F.coalesce("label", "top").alias("label"))
+    return written(named)
+
+
 def _number(found: DataFrame, offset: int) -> DataFrame:
     """node, community, parent: dense numbers from ``offset`` in the order of parent and label."""
     kinds = numbered(found.select("parent", "label").distinct(), ["parent", "label"], "k")
@@ -72,15 +143,11 @@ def _number(found: DataFrame, offset: int) -> DataFrame:
 def hierarchy(edges: DataFrame, kind: str = "DL", min_size: int = MIN_SIZE) -> DataFrame:
     """node, level, community, parent for three levels; communities under ``min_size`` are not divided further.
 
-    ``edges`` has src, dst, weight in both directions. For the classical graph level 0 are the weak components, which
-    its resolution near zero gives. Numbers start at the offsets of the levels.
+    ``edges`` has src, dst, weight in both directions. Numbers start at the offsets of the levels.
     """
     edges = written(edges)
     nodes = edges.select(F.col("src").alias("node")).union(edges.select("dst")).distinct()
-    if kind == "DL":
-        top = connected_components(edges).select("node", F.col("component").alias("label"))
-    else:
-        top = potts_communities(edges, nodes.withColumn("parent", F.lit(0)), RESOLUTIONS[kind][0])
+    top = potts_communities(edges, nodes.withColumn("parent", F.lit(0)), RESOLUTIONS[kind][0])
     out, level = None, written(_number(top.withColumn("parent", F.lit(-1).cast("long")), OFFSETS[0]))
     for depth in range(3):
         part = level.select("node", F.lit(depth).alias("level"), "community", "parent")

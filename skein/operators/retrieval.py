@@ -33,9 +33,10 @@ def _blocks(queries: DataFrame, size: int) -> Iterator[list]:
         yield block
 
 
-def _best(rows: DataFrame, queries: DataFrame, k: int, key: str, scorer: Callable, block: int) -> DataFrame:
+def _best(rows: DataFrame, queries: DataFrame, k: int, key: str, scorer: Callable, block: int, threshold: float | None = None) -> DataFrame:
     """query_id, key, score, rank. Every partition keeps its own ``k`` best rows of each query of a block; only those are
-    shuffled. ``scorer(block)`` makes a function from an Arrow batch to (row, query position, score) arrays."""
+    shuffled. ``scorer(block)`` makes a function from an Arrow batch to pairs of row numbers and a matrix of scores, one
+    line for each query; scores that are not above ``threshold`` do not count."""
     spark = rows.sparkSession
     schema = ST.StructType([ST.StructField("query_id", ST.LongType()), ST.StructField(key, ST.LongType()), ST.StructField("score", ST.DoubleType())])
     found = spark.createDataFrame([], schema)
@@ -46,16 +47,23 @@ def _best(rows: DataFrame, queries: DataFrame, k: int, key: str, scorer: Callabl
             asked = shared.value
             score = scorer(asked)
             heaps: list[list[tuple[float, int]]] = [[] for _ in asked]
+            # What a row must reach to be among the best of its query so far; ties are decided by the id.
+            floor = np.full(len(asked), -np.inf if threshold is None else np.nextafter(threshold, np.inf))
             for batch in batches:
                 ids = batch.column(0).to_numpy(zero_copy_only=False)
-                for q, rows_at, scores in score(batch):
-                    heap = heaps[q]
-                    for i, s in zip(rows_at, scores):
-                        item = (float(s), -int(ids[i]))
+                for rows_at, scores in score(batch):
+                    least = floor
+                    if scores.shape[1] > k:
+                        cut = scores.shape[1] - k
+                        least = np.maximum(floor, np.partition(scores, cut, axis=1)[:, cut])
+                    for q, r in zip(*np.nonzero(scores >= least[:, None])):
+                        item, heap = (float(scores[q, r]), -int(ids[rows_at[r]])), heaps[q]
                         if len(heap) < k:
                             heapq.heappush(heap, item)
                         elif item > heap[0]:
                             heapq.heapreplace(heap, item)
+                        if len(heap) == k:
+                            floor[q] = max(floor[q], heap[0][0])
             out = [(asked[q][0], -i, s) for q, heap in enumerate(heaps) for s, i in heap]
             yield pa.RecordBatch.from_arrays(
                 [pa.array([o[0] for o in out], pa.int64()), pa.array([o[1] for o in out], pa.int64()), pa.array([o[2] for o in out], pa.float64())],
@@ -71,35 +79,27 @@ def nearest(points: DataFrame, queries: DataFrame, k: int, key: str = "vec_id",
     """query_id, key, score, rank: the ``k`` points with the highest cosine for each query, ties by id.
 
     ``queries`` has the id first and the vector second. Null vectors are skipped, a zero vector has cosine 0 with all.
-    With ``threshold`` only points above it count.
+    With ``threshold`` only points above it count. All vectors have the same length.
     """
 
-    def scorer(asked: list) -> Callable:
-        matrix = np.array([q[1] for q in asked], np.float64)
+    def unit(matrix: np.ndarray) -> np.ndarray:
         size = np.linalg.norm(matrix, axis=1, keepdims=True)
-        matrix = np.where(size > 1e-9, matrix / np.where(size > 0, size, 1), 0.0)
+        return np.where(size > 1e-9, matrix / np.where(size > 0, size, 1), 0.0)
+
+    def scorer(asked: list) -> Callable:
+        matrix = unit(np.array([q[1] for q in asked], np.float64))
 
         def score(batch: pa.RecordBatch):
             column = batch.column(1)
             there = np.flatnonzero(column.is_valid().to_numpy(zero_copy_only=False))
-            if not len(there):
-                return
-            own = np.array(column.take(pa.array(there)).to_pylist(), np.float64)
-            length = np.linalg.norm(own, axis=1, keepdims=True)
-            own = np.where(length > 1e-9, own / np.where(length > 0, length, 1), 0.0)
-            scores = own @ matrix.T
-            for q in range(len(asked)):
-                s = scores[:, q]
-                at = np.flatnonzero(s > threshold) if threshold is not None else np.arange(len(s))
-                if len(at) > k:
-                    # All that tie with the last are kept here, so that the id decides.
-                    least = np.partition(s[at], len(at) - k)[len(at) - k]
-                    at = at[s[at] >= least]
-                yield q, there[at], s[at]
+            for start in range(0, len(there), ROWS):
+                at = there[start : start + ROWS]
+                flat = column.take(pa.array(at)).flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+                yield at, matrix @ unit(flat.reshape(len(at), -1)).T
 
         return score
 
-    return _best(points.select(key, vector), queries, k, key, scorer, block)
+    return _best(points.select(key, vector), queries, k, key, scorer, block, threshold)
 
 
 def term_weights(terms: list[str]) -> dict[str, float]:
@@ -108,8 +108,15 @@ def term_weights(terms: list[str]) -> dict[str, float]:
     return {t: n * (K1 + 1) / (n + K1 * (1 - B + B * size / AVERAGE_LENGTH)) for t, n in Counter(terms).items()}
 
 
+#: Terms that so many queries of a block ask for are scored by a matrix product, rarer ones by their postings.
+COMMON = 32
+
+
 def sparse_search(texts: DataFrame, queries: DataFrame, k: int, key: str = "doc_id", text: str = "text", block: int = BLOCK) -> DataFrame:
-    """query_id, key, score, rank: the ``k`` texts with the highest dot product of term weights; no match, no row."""
+    """query_id, key, score, rank: the ``k`` texts with the highest dot product of term weights; no match, no row.
+
+    Scores are rounded to nine places before they are ranked, so that the order of a sum decides no tie.
+    """
 
     def scorer(asked: list) -> Callable:
         split = re.compile("[a-z0-9]+").findall
@@ -117,31 +124,31 @@ def sparse_search(texts: DataFrame, queries: DataFrame, k: int, key: str = "doc_
         for q, (_, question) in enumerate(asked):
             for t, w in term_weights(split((question or "").lower())).items():
                 met.setdefault(t, []).append((q, w))
-        postings = {t: (np.array([q for q, _ in rows]), np.array([w for _, w in rows])) for t, rows in met.items()}
+        common = {t: n for n, t in enumerate(t for t, rows in met.items() if len(rows) >= COMMON)}
+        matrix = np.zeros((len(common), len(asked)))
+        for t, n in common.items():
+            at, w = zip(*met[t])
+            matrix[n, list(at)] = w
+        rare = {t: (np.array([q for q, _ in rows]), np.array([w for _, w in rows])) for t, rows in met.items() if t not in common}
 
         def score(batch: pa.RecordBatch):
             column = batch.column(1)
             for start in range(0, len(column), ROWS):
                 part = column.slice(start, ROWS).to_pylist()
-                scores = np.zeros((len(part), len(asked)))
-                for row, text_ in zip(scores, part):
+                often, scores = np.zeros((len(part), len(common))), np.zeros((len(part), len(asked)))
+                for row, text_ in enumerate(part):
                     for t, w in term_weights(split((text_ or "").lower())).items():
-                        if t in postings:
-                            at, weights = postings[t]
-                            row[at] += weights * w
-                for q in range(len(asked)):
-                    s = scores[:, q]
-                    at = np.flatnonzero(s)
-                    if len(at) > k:
-                        # All that tie with the last are kept here, so that the id decides.
-                        least = np.partition(s[at], len(at) - k)[len(at) - k]
-                        at = at[s[at] >= least]
-                    if len(at):
-                        yield q, start + at, s[at]
+                        n = common.get(t)
+                        if n is not None:
+                            often[row, n] = w
+                        elif t in rare:
+                            at, weights = rare[t]
+                            scores[row, at] += weights * w
+                yield np.arange(start, start + len(part)), np.ascontiguousarray(np.round(scores + often @ matrix, 9).T)
 
         return score
 
-    return _best(texts.select(key, text), queries, k, key, scorer, block)
+    return _best(texts.select(key, text), queries, k, key, scorer, block, 0.0)
 
 
 def fuse(lists: list[DataFrame], k: int, key: str, rrf_k: int = RRF_K) -> DataFrame:

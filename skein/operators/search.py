@@ -125,12 +125,19 @@ def local_search(graph: Graph, query: list[float], names: DataFrame, params: Loc
     ])
 
 
-def community_candidates(graph: Graph, query: list[float], names: DataFrame, level: int, limit: int = 30, min_similarity: float = 0.2) -> DataFrame:
-    """community, rank, source, relevance: communities with a named entity (score 1) first, then by vector."""
-    rows = graph.communities.where(F.col("level") == level)
+def community_candidates(graph: Graph, query: list[float], names: DataFrame, level: int | list[int], limit: int = 30, min_similarity: float = 0.2) -> DataFrame:
+    """community, rank, source, relevance: communities with a named entity (score 1) first, then by vector.
+
+    Of one level or several. Communities without a summary are skipped where there is that column. Twice as many are taken
+    by name as there are names, which are the few of one question.
+    """
+    rows = graph.communities.where(F.col("level").isin(level if isinstance(level, list) else [level]))
+    if "summary" in rows.columns:
+        rows = rows.where("summary IS NOT NULL")
+    most = 2 * names.count()
     scored = rows.where("embedding IS NOT NULL").select("community", V.cosine01(F.col("embedding"), _vector(query)).alias("vector_score")).where(F.col("vector_score") >= min_similarity).orderBy(F.desc("vector_score"), "community").limit(limit * limit)
     met = graph.entities.join(names, F.lower("title") == F.col("name"), "left_semi").select(F.col("id").alias("node"))
-    held = graph.members.join(met, "node", "left_semi").select("community").distinct().join(rows.select("community", "rank"), "community").orderBy(F.desc("rank"), "community").limit(2 * 6).select("community", F.lit("entity").alias("_e"))
+    held = graph.members.join(met, "node", "left_semi").select("community").distinct().join(rows.select("community", "rank"), "community").orderBy(F.desc("rank"), "community").limit(most).select("community", F.lit("entity").alias("_e"))
     both = held.join(scored, "community", "full").join(rows.select("community", "rank"), "community")
     found = both.select("community", "rank", F.coalesce("_e", F.lit("vector")).alias("source"), F.when(F.col("_e").isNotNull(), 1.0).otherwise(F.col("vector_score")).alias("relevance"))
     return found.orderBy(F.desc("relevance"), "community").limit(limit)

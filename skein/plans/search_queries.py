@@ -71,7 +71,7 @@ w AS (SELECT id, (1 + list_cosine_similarity(v, q)) / 2 AS weight FROM e, q WHER
 
 SQL = {
     "community_relevance": f"WITH {_G}, t AS (SELECT * FROM w WHERE weight > 0.5 ORDER BY weight DESC, id LIMIT 15) SELECT c.community, round(0.7 * coalesce(s, 0) + 0.2 * coalesce(rank, 0), 6) AS score FROM c LEFT JOIN (SELECT community, sum(weight) AS s FROM t JOIN e USING (id) GROUP BY community) USING (community)",
-    "community_candidates": f"""WITH {_G}, n AS (SELECT lower(title) AS name FROM entities WHERE human_readable_id < 3), h AS (SELECT community FROM (SELECT DISTINCT community, rank FROM e JOIN c USING (community) WHERE name IN (SELECT name FROM n)) ORDER BY rank DESC, community LIMIT 12),
+    "community_candidates": f"""WITH {_G}, n AS (SELECT lower(title) AS name FROM entities WHERE human_readable_id < 3), h AS (SELECT community FROM (SELECT DISTINCT community, rank FROM e JOIN c USING (community) WHERE name IN (SELECT name FROM n)) ORDER BY rank DESC, community LIMIT 6),
         s AS (SELECT community, (1 + list_cosine_similarity(v, q)) / 2 AS score FROM c, q WHERE v IS NOT NULL)
         SELECT community, CASE WHEN community IN (SELECT community FROM h) THEN 'entity' ELSE 'vector' END AS source, round(CASE WHEN community IN (SELECT community FROM h) THEN 1 ELSE score END, 6) AS relevance
         FROM s WHERE score >= 0.2 OR community IN (SELECT community FROM h) ORDER BY relevance DESC, community LIMIT 30""",

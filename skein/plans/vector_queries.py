@@ -133,15 +133,15 @@ r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, ve
 """
 _ZERO = "v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings), s AS (SELECT p.label, p.vec_id, (1 + list_cosine_similarity(q.e, p.e)) / 2 AS score FROM v q, v p WHERE q.vec_id = 0)"
 _BM = """
-c AS (SELECT d.doc_id, d.text, regexp_extract_all(lower(d.text), '[a-z0-9]+') AS t, CAST(e.embedding AS DOUBLE[]) AS e FROM documents d JOIN embeddings e ON e.vec_id = d.doc_id),
+c AS (SELECT d.doc_id, d.text, regexp_extract_all(lower(d.text), '[a-z0-9]+') AS t, CAST(e.embedding AS DOUBLE[]) AS e FROM documents d LEFT JOIN embeddings e ON e.vec_id = d.doc_id),
 dt AS (SELECT doc_id, len(t) AS l, unnest(t) AS term FROM c WHERE text IS NOT NULL),
 dw AS (SELECT doc_id, term, n * 2.2 / (n + 1.2 * (0.25 + 0.75 * l / 256.0)) AS w FROM (SELECT doc_id, l, term, CAST(count(*) AS DOUBLE) AS n FROM dt GROUP BY ALL)),
-q AS (SELECT doc_id AS query_id, regexp_extract_all(lower(left(text, 200)), '[a-z0-9]+') AS t FROM c WHERE doc_id % 20 = 0 AND text IS NOT NULL),
+q AS (SELECT doc_id AS query_id, regexp_extract_all(lower(text), '[a-z0-9]+') AS t FROM c WHERE doc_id % 20 = 0 AND text IS NOT NULL),
 qt AS (SELECT query_id, len(t) AS l, unnest(t) AS term FROM q),
 qw AS (SELECT query_id, term, n * 2.2 / (n + 1.2 * (0.25 + 0.75 * l / 256.0)) AS w FROM (SELECT query_id, l, term, CAST(count(*) AS DOUBLE) AS n FROM qt GROUP BY ALL)),
-sp AS (SELECT query_id, doc_id, sum(qw.w * dw.w) AS score FROM qw JOIN dw USING (term) GROUP BY query_id, doc_id),
+sp AS (SELECT query_id, doc_id, round(sum(qw.w * dw.w), 9) AS score FROM qw JOIN dw USING (term) GROUP BY query_id, doc_id),
 sr AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM sp),
-de AS (SELECT a.doc_id AS query_id, b.doc_id, list_cosine_similarity(a.e, b.e) AS score FROM c a, c b WHERE a.doc_id % 20 = 0 AND a.text IS NOT NULL),
+de AS (SELECT a.doc_id AS query_id, b.doc_id, list_cosine_similarity(a.e, b.e) AS score FROM c a, c b WHERE a.doc_id % 20 = 0 AND a.text IS NOT NULL AND a.e IS NOT NULL AND b.e IS NOT NULL),
 dr AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM de),
 u AS (SELECT query_id, doc_id, rank FROM dr WHERE rank <= 20 UNION ALL SELECT query_id, doc_id, rank FROM sr WHERE rank <= 20),
 f AS (SELECT query_id, doc_id, sum(1.0::DOUBLE / (60 + rank)) AS score FROM u GROUP BY query_id, doc_id),

@@ -3,8 +3,10 @@
 import random
 from collections import defaultdict
 
+import numpy as np
 from pyspark.sql import functions as F
 
+from skein.functions import partition
 from skein.operators import chunking, communities, evaluation, graph, qa, resolution, retrieval, traversal, triplets
 from skein.operators.components import connected_components
 
@@ -193,3 +195,48 @@ def test_questions(spark):
     assert flat.count() == 3 and qa.valid(flat).count() == 2
     kept = qa.without_repeats(flat, ["pos"]).collect()
     assert sorted((r["qa_level"], r["answer"]) for r in kept) == [("level_1", "a"), ("level_2", " ")]
+
+
+def every_partition(n):
+    def grow(labels):
+        if len(labels) == n:
+            yield labels
+            return
+        for c in range(max(labels, default=-1) + 2):
+            yield from grow([*labels, c])
+
+    yield from grow([])
+
+
+def test_partition_is_as_good_as_the_best_of_all():
+    rng = random.Random(2)
+    for _ in range(12):
+        pairs = [(a, b, round(rng.uniform(0.1, 1), 2)) for a in range(7) for b in range(a) if rng.random() < 0.45]
+        resolution = rng.choice([0.05, 0.2, 0.4])
+        near = [{} for _ in range(7)]
+        for a, b, w in pairs:
+            near[a][b] = near[b][a] = w
+        value = lambda labels: partition.quality(near, [1.0] * 7, labels, resolution)  # noqa: E731, B023
+        got = partition.potts_partition(*(np.array([p[k] for p in pairs]) for k in range(3)), np.ones(7), resolution)
+        assert value(got) >= 0.99 * max(map(value, every_partition(7)))
+
+
+def test_large_parts_are_contracted_first(spark):
+    rng = random.Random(4)
+    pairs = {(a + 8 * k, b + 8 * k) for k in range(12) for a in range(8) for b in range(a) if rng.random() < 0.8} | {(8 * k, 8 * k + 8) for k in range(11)}
+    rows = [x for a, b in pairs for x in ((a, b, 1.0), (b, a, 1.0))]
+    edges = spark.createDataFrame(rows, "src bigint, dst bigint, weight double")
+    nodes = spark.range(100).withColumnRenamed("id", "node").withColumn("parent", F.lit(0))
+    whole, cut = (communities.potts_communities(edges, nodes, 0.3, task_edges=n) for n in (10_000, 60))
+    best, least = communities.objective(edges, whole, 0.3), communities.objective(edges, cut, 0.3)
+    assert least >= 0.97 * best and whole.count() == cut.count() == 100
+    for found in (whole, cut):
+        label = {r["node"]: r["label"] for r in found.collect()}
+        for c in set(label.values()):
+            inside, seen, stack = {v for v in label if label[v] == c}, set(), [c]
+            while stack:
+                v = stack.pop()
+                if v not in seen:
+                    seen.add(v)
+                    stack += [b for a, b, _ in rows if a == v and b in inside]
+            assert seen == inside
