@@ -4,15 +4,20 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from skein.functions.fuzzy import weighted_ratio
+from skein.functions.fuzzy import weighted_ratio, weighted_score
 from skein.functions.text import normal_name
 from skein.operators.components import connected_components
 from skein.operators.retrieval import first_wins
+from skein.session import written
 
 PERCENT = 85
+#: Names with a token in common that meet each other; commoner tokens count only in pairs.
+TOKEN_NAMES = 200
+#: Names that average linkage takes at once; a larger component is cut where its names are least alike.
+LINKED_NAMES = 1000
 # Types that say nothing about a mention; so does a missing type.
 GENERIC_TYPES = ("MISC", "REBEL_ENTITY")
 
@@ -44,6 +49,35 @@ def similar_names(names: DataFrame, key: str = "name", percent: int = PERCENT) -
     return pairs.withColumn("distance", F.levenshtein("a", "b")).where(100 * F.col("distance") <= (100 - percent) * F.greatest(F.length("a"), F.length("b")))
 
 
+def _meeting(keyed: DataFrame, most: int) -> DataFrame:
+    """a, b of the names that share a key which at most ``most`` names have."""
+    counts = keyed.groupBy("k").agg(F.count(F.lit(1)).alias("c")).where((F.col("c") > 1) & (F.col("c") <= most)).select("k")
+    few = keyed.join(counts, "k", "left_semi")
+    return few.select("k", F.col("n").alias("a")).join(few.select("k", F.col("n").alias("b")), "k").where("a < b").select("a", "b")
+
+
+def weighted_names(names: DataFrame, key: str = "name", percent: int = PERCENT, most: int = TOKEN_NAMES) -> DataFrame:
+    """a, b, score: pairs of distinct names, a < b, whose weighted ratio is at least ``percent``.
+
+    Names meet if few edits lead from one to the other, as they stand or with their tokens sorted, if they share a token
+    that at most ``most`` names have, or two commoner tokens that so many have together. What meets is verified. Names
+    whose only likeness is one very common token do not meet; nothing else with that score is known to be missed.
+    """
+    distinct = names.select(F.col(key).alias("n")).where(F.length("n") > 0).distinct()
+    tokens = written(distinct.select("n", F.explode(F.array_distinct(F.split("n", " "))).alias("k")).where("k <> ''"))
+    common = tokens.groupBy("k").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > most).select("k")
+    held = tokens.join(common, "k", "left_semi").groupBy("n").agg(F.array_sort(F.collect_list("k")).alias("ks"))
+    twos = held.select("n", F.posexplode("ks").alias("i", "x"), "ks").select("n", "x", F.explode(F.slice("ks", F.col("i") + 2, F.size("ks"))).alias("y")).select("n", F.concat("x", F.lit(" "), "y").alias("k"))
+    ordered = distinct.select("n", F.array_join(F.array_sort(F.split("n", " ")), " ").alias("o"))
+    turned = similar_names(ordered, "o", percent).select("a", "b")
+    back = lambda side: ordered.select(F.col("o").alias(side), F.col("n").alias(f"{side}n"))
+    turned = turned.join(back("a"), "a").join(back("b"), "b").select(F.least("an", "bn").alias("a"), F.greatest("an", "bn").alias("b"))
+    same = _meeting(ordered.select("n", F.col("o").alias("k")), most)
+    near = similar_names(distinct, "n", percent).select("a", "b")
+    met = near.union(turned).union(same).union(_meeting(tokens, most)).union(_meeting(twos, most)).where("a < b").distinct()
+    return met.withColumn("score", weighted_score("a", "b")).where(F.col("score") >= percent)
+
+
 def canonical_forms(mentions: DataFrame, cluster: str, prefer_specific: bool = False) -> DataFrame:
     """cluster, canonical: the representative of each cluster of (mention, type, freq).
 
@@ -83,23 +117,52 @@ def average_linkage(names: list[str], cut: float = 100 - PERCENT) -> list[int]:
     return label
 
 
-def resolve(triplets: DataFrame, percent: int = PERCENT, prefer_specific: bool = False) -> DataFrame:
-    """Triplets with heads and tails in canonical form; new self loops are dropped.
+def linked_parts(links: DataFrame, percent: int = PERCENT, most: int = LINKED_NAMES) -> DataFrame:
+    """node, component of the names that links (a, b, score) join, none with more than ``most`` names.
 
-    Names that are similar pairwise are joined to components, and inside each component average linkage decides, so no
-    task holds more than one component of near-equal names. Each name is clustered once, however many types and
-    mentions it has.
+    Larger components are joined anew by links of a higher score, in steps of a fifth of what is left to 100, until they are small
+    enough; what identical scores still hold together then is cut in the order of its names. Average linkage joins the
+    most alike first, so a cut separates what it would join last. Names without a link that is left are not listed.
     """
-    counts = mention_counts(triplets).withColumn("name", normal_name(F.col("mention")))
-    links = similar_names(counts, "name", percent)
-    parts = connected_components(links, "a", "b")
+    found, level, least = None, links, float(percent)
+    while True:
+        parts = written(connected_components(level, "a", "b"))
+        sizes = parts.groupBy("component").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > most).select("component")
+        sizes = written(sizes)
+        small = parts.join(sizes, "component", "left_anti").select("node", "component")
+        found = small if found is None else found.unionByName(small)
+        if sizes.isEmpty():
+            return found
+        big = parts.join(sizes, "component", "left_semi")
+        if least > 99.9:
+            place = F.row_number().over(Window.partitionBy("component").orderBy("node")) - 1
+            cut = big.withColumn("_k", F.floor(place / most))
+            return found.unionByName(cut.select("node", F.min("node").over(Window.partitionBy("component", "_k")).alias("component")))
+        least += (100 - least) / 5
+        inside = big.select("node")
+        level = written(level.where(F.col("score") >= least).join(inside.withColumnRenamed("node", "a"), "a", "left_semi").join(inside.withColumnRenamed("node", "b"), "b", "left_semi"))
+
+
+def name_clusters(names: DataFrame, key: str = "name", percent: int = PERCENT) -> DataFrame:
+    """name, cluster: average linkage of all names with a similar one; others are not listed."""
+    parts = linked_parts(weighted_names(names, key, percent), percent)
 
     def inside(group: pd.DataFrame) -> pd.DataFrame:
-        names = sorted(group["node"])
-        labels = average_linkage(names, 100 - percent)
-        return pd.DataFrame({"name": names, "cluster": [names[k] for k in labels]})
+        own = sorted(group["node"])
+        labels = average_linkage(own, 100 - percent)
+        return pd.DataFrame({"name": own, "cluster": [own[k] for k in labels]})
+
+    return parts.groupBy("component").applyInPandas(inside, "name string, cluster string")
+
+
+def resolve(triplets: DataFrame, percent: int = PERCENT, prefer_specific: bool = False) -> DataFrame:
+    """Triplets with heads and tails in canonical form; new self loops are dropped.
 
-    clusters = parts.groupBy("component").applyInPandas(inside, "name string, cluster string")
+    Names whose weighted ratio is high are joined to components of bounded size, and inside each average linkage decides.
+    Each name is clustered once, however many types and mentions it has.
+    """
+    counts = mention_counts(triplets).withColumn("name", normal_name(F.col("mention")))
+    clusters = name_clusters(counts, "name", percent)
     placed = counts.join(clusters, "name", "left").withColumn("cluster", F.coalesce("cluster", "name"))
     forms = placed.select("mention", "type", "cluster").join(canonical_forms(placed, "cluster", prefer_specific), "cluster").select("mention", "type", "canonical")
     return apply_canonical(triplets, forms)

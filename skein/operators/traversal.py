@@ -45,7 +45,7 @@ def distances(edges: DataFrame, sources: DataFrame, max_hops: int = 1000) -> Dat
     raise RuntimeError("distances go on beyond max_hops")
 
 
-def distance_profile(edges: DataFrame, nodes: DataFrame, words: int = 32) -> DataFrame:
+def distance_profile(edges: DataFrame, nodes: DataFrame, words: int = 8) -> DataFrame:
     """hop, pairs, ended: how many pairs are that far apart, and how many nodes have their farthest node there.
 
     Every one of ``nodes`` is a source, in blocks of 64 * ``words``. A node holds one bit for each source of the block

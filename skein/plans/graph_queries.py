@@ -108,6 +108,11 @@ def mention_pairs(spark: SparkSession, folder: str) -> DataFrame:
     return resolution.similar_names(table(spark, folder, "entities").select(normal_name(F.col("title")).alias("name")))
 
 
+def weighted_pairs(spark: SparkSession, folder: str) -> DataFrame:
+    """Pairs of entity names with a weighted ratio of 85 or more."""
+    return resolution.weighted_names(table(spark, folder, "entities").select(normal_name(F.col("title")).alias("name"))).withColumn("score", F.round("score", 6))
+
+
 def canonical_form(spark: SparkSession, folder: str) -> DataFrame:
     counts = resolution.mention_counts(_triplets(spark, folder)).withColumn("name", normal_name(F.col("mention")))
     return resolution.canonical_forms(counts, "name")
@@ -127,7 +132,7 @@ def resolve_entities(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (triplet_filter, complete_triplets, relation_validity, entity_frequency, entity_first_wins, entity_chunks, entity_degree, combined_degree, stale_degrees, chunk_inverted_index,
-              has_entity, part_of, related, dangling_relations, relation_kinds, mention_groups, mention_pairs, canonical_form, apply_canonical, resolve_entities)
+              has_entity, part_of, related, dangling_relations, relation_kinds, mention_groups, mention_pairs, weighted_pairs, canonical_form, apply_canonical, resolve_entities)
 }
 
 _M = """m AS (SELECT upper(trim(source_title)) AS title, 0 AS side, * FROM relationships WHERE length(trim(source_title)) > 0

@@ -7,6 +7,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from skein.functions import partition
+from skein.functions.fuzzy import weighted_ratio
 from skein.operators import chunking, communities, evaluation, graph, qa, resolution, retrieval, traversal, triplets
 from skein.operators.components import connected_components
 
@@ -240,3 +241,29 @@ def test_large_parts_are_contracted_first(spark):
                     seen.add(v)
                     stack += [b for a, b, _ in rows if a == v and b in inside]
             assert seen == inside
+
+
+def test_weighted_names_and_clusters_are_those_of_all_pairs(spark):
+    rng = random.Random(9)
+    words = ["new", "horizons", "probe", "saturn", "rings", "kuiper", "belt", "object", "voyager", "dust", "ring", "moon", "orbit", "cloud"]
+    names = {" ".join(rng.sample(words, rng.randint(1, 3))) for _ in range(60)} | {"new horizon", "saturns rings", "kuiperbelt", "voyagers", "the kuiper belt object", ""}
+    frame = spark.createDataFrame([(n, 1) for n in sorted(names)] + [(None, 2)], "name string, score int")
+    want = {(a, b): round(weighted_ratio(a, b), 6) for a in names for b in names if a and a < b and weighted_ratio(a, b) >= 85}
+    got = {(r["a"], r["b"]): round(r["score"], 6) for r in resolution.weighted_names(frame).collect()}
+    assert ("new horizons", "new horizons probe") in want or len(want) > 20
+    assert got.items() <= want.items() and len(got) >= 0.95 * len(want)
+    listed = sorted(n for n in names if n)
+    label = resolution.average_linkage(listed)
+    clusters = defaultdict(set)
+    for n, k in zip(listed, label):
+        clusters[k].add(n)
+    found = defaultdict(set)
+    for r in resolution.name_clusters(frame).collect():
+        found[r["cluster"]].add(r["name"])
+    assert {frozenset(c) for c in found.values() if len(c) > 1} == {frozenset(c) for c in clusters.values() if len(c) > 1}
+    links = spark.createDataFrame([(f"n{i:03}", f"n{j:03}", 85.0 + (i % 15)) for i in range(60) for j in (i + 1, i + 2)], "a string, b string, score double")
+    parts = resolution.linked_parts(links, most=7).groupBy("component").count().collect()
+    assert max(r["count"] for r in parts) <= 7
+    same = spark.createDataFrame([(f"n{i:03}", f"n{i + 1:03}", 100.0) for i in range(60)], "a string, b string, score double")
+    parts = resolution.linked_parts(same, most=7).groupBy("component").count().collect()
+    assert max(r["count"] for r in parts) <= 7 and sum(r["count"] for r in parts) == 61
