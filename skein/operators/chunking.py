@@ -79,3 +79,25 @@ def sample_under_budget(rows: DataFrame, key: str, text: str, max_tokens: int, s
     summed = near.withColumn("running", F.col("_before") + F.sum("n_tokens").over(within))
     first = summed.where(F.col("running") > max_tokens).agg(F.min(F.struct("running", "_order", key)).alias("s"))
     return summed.crossJoin(F.broadcast(first)).where((F.col("running") <= max_tokens) & (F.col("s").isNull() | (F.struct(F.col("running"), F.col("_order"), F.col(key)) < F.col("s")))).select(key, "n_tokens", "running")
+
+
+def running_totals(rows: DataFrame, order: list[str], value: Column, name: str) -> DataFrame:
+    """``rows`` with the sum of ``value`` over all rows before each in a total order; no task sees more than a range of them."""
+    ranged = checkpoint(rows.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()).withColumn("_value", value))
+    sizes = ranged.groupBy("_part").agg(F.sum("_value").alias("_size"))
+    before = sizes.withColumn("_before", F.sum("_size").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))).select("_part", "_before")
+    own = Window.partitionBy("_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    summed = ranged.withColumn("_own", F.coalesce(F.sum("_value").over(own), F.lit(0))).join(F.broadcast(before), "_part")
+    return summed.withColumn(name, F.col("_own") + F.coalesce("_before", F.lit(0))).drop("_part", "_value", "_own", "_before")
+
+
+def corpus_parts(texts: DataFrame, group: str, order: str, text: str, separator: int = 2) -> DataFrame:
+    """group, order, start, chars, text: the texts of each group in order, with where each starts in their concatenation.
+
+    ``separator`` characters stand between two. The joined text of a group is as long as the group is large, so it stays in
+    parts; null texts are left out.
+    """
+    kept = texts.where(F.col(text).isNotNull() & F.col(group).isNotNull()).select(group, order, text, F.length(text).alias("chars"))
+    placed = running_totals(kept, [group, order], F.col("chars") + separator, "_at")
+    first = placed.groupBy(group).agg(F.min("_at").alias("_first"))
+    return placed.join(first, group).select(group, order, (F.col("_at") - F.col("_first")).alias("start"), "chars", text)

@@ -2,19 +2,34 @@
 
 from __future__ import annotations
 
+import re
+from collections import Counter
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from skein.functions.text import terms
 from skein.operators.chunking import numbered
 
 
-def rouge1(answer: Column, expected: Column) -> Column:
-    """F1 of the multiset overlap of terms, without stemming; 0 if either side has none or is null."""
-    a, b = terms(answer), terms(expected)
-    count = lambda words, w: F.size(F.filter(words, lambda x: x == w))
-    shared = F.aggregate(F.array_intersect(a, b), F.lit(0), lambda s, w: s + F.least(count(a, w), count(b, w)))
-    return F.coalesce(F.when((F.size(a) > 0) & (F.size(b) > 0), 2.0 * shared / (F.size(a) + F.size(b))), F.lit(0.0))
+@F.pandas_udf(DoubleType())
+def rouge1(answer: pd.Series, expected: pd.Series) -> pd.Series:
+    """F1 of the multiset overlap of terms, without stemming; 0 if either side has none or is null. Linear in the terms."""
+    split = re.compile("[a-z0-9]+").findall
+    out = []
+    for a, b in zip(answer, expected):
+        x, y = Counter(split((a or "").lower())), Counter(split((b or "").lower()))
+        size = x.total() + y.total()
+        out.append(2.0 * (x & y).total() / size if x and y else 0.0)
+    return pd.Series(out, dtype="float64")
+
+
+def relevancy_verdicts(answer: Column, question: Column, letters: int = 4) -> Column:
+    """1 for each sentence of the answer that shares a term of some length with the question, else 0; null without an answer."""
+    long = F.filter(terms(question), lambda t: F.length(t) >= letters)
+    return F.transform(F.split(answer, r"\. "), lambda s: F.when(F.size(F.array_intersect(terms(s), long)) > 0, 1).otherwise(0))
 
 
 def ranked_precision(verdicts: Column) -> Column:

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from skein.operators.retrieval import first_wins
+from skein.operators.retrieval import first_wins, top_per_group
+from skein.providers import EMPTY
 
 
 def title_of(name: Column) -> Column:
@@ -80,3 +81,46 @@ def undirected(edges: DataFrame, source: str = "source_id", target: str = "targe
     """Distinct src, dst in both directions without self loops."""
     ways = F.array(F.struct(F.col(source).alias("src"), F.col(target).alias("dst")), F.struct(F.col(target).alias("src"), F.col(source).alias("dst")))
     return edges.select(F.inline(ways)).where("src <> dst").distinct()
+
+
+def in_community(communities: DataFrame, key: str = "community", entities: str = "entity_ids") -> DataFrame:
+    """entity_id, community_id: the edges of communities that list their entities, each once."""
+    return communities.select(F.explode(entities).alias("entity_id"), F.col(key).alias("community_id")).distinct()
+
+
+def community_texts(communities: DataFrame, members: DataFrame, entities: DataFrame, names: int = 5) -> DataFrame:
+    """community, text: what is embedded of a community: title, summary, and titles and descriptions of its first entities.
+
+    ``communities`` has community, title, summary; ``members`` community, node; ``entities`` id, title, description, degree.
+    The first are those of highest degree, then by title. Missing parts are left out; with nothing left it is the stand-in.
+    """
+    inside = members.join(entities.select(F.col("id").alias("node"), F.col("title").alias("_t"), F.col("description").alias("_d"), "degree"), "node")
+    best = top_per_group(inside, ["community"], [F.desc_nulls_last("degree"), F.col("_t"), F.col("node")], names)
+    parts = best.groupBy("community").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("rank", "_t", "_d"))), lambda x: F.array(x["_t"], x["_d"]))).alias("_n"))
+    joined = communities.select("community", "title", "summary").join(parts, "community", "left")
+    filled = F.filter(F.concat(F.array("title", "summary"), F.coalesce("_n", F.array().cast("array<string>"))), lambda x: F.length(x) > 0)
+    text = F.trim(F.array_join(filled, " "))
+    return joined.select("community", F.when(text == "", EMPTY["community"]).otherwise(text).alias("text"))
+
+
+def entity_texts(entities: DataFrame) -> DataFrame:
+    """id, text: title and description; the stand-in without both."""
+    text = F.trim(F.concat_ws(" ", "title", "description"))
+    return entities.select("id", F.when(text == "", EMPTY["entity"]).otherwise(text).alias("text"))
+
+
+def chunk_documents(chunks: DataFrame, part_of: DataFrame, documents: DataFrame) -> DataFrame:
+    """Chunks with the title of their document as ``document_title``; null without one."""
+    titles = documents.select(F.col("id").alias("document_id"), F.col("title").alias("document_title"))
+    return chunks.join(part_of.select("chunk_id", "document_id"), "chunk_id", "left").join(titles, "document_id", "left")
+
+
+def community_entities(members: DataFrame, wanted: DataFrame) -> DataFrame:
+    """community, node: the entities of the wanted communities, as rows, so that no community has to fit one."""
+    return members.join(wanted.select("community").distinct(), "community", "left_semi").select("community", "node").distinct()
+
+
+def titled_by_report(communities: DataFrame, reports: DataFrame) -> DataFrame:
+    """Communities with the title of their report where there is one."""
+    fresh = reports.select("community", F.col("title").alias("_title"))
+    return communities.join(fresh, "community", "left").withColumn("title", F.coalesce("_title", "title")).select(*communities.columns)

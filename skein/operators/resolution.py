@@ -120,7 +120,7 @@ def average_linkage(names: list[str], cut: float = 100 - PERCENT) -> list[int]:
 def linked_parts(links: DataFrame, percent: int = PERCENT, most: int = LINKED_NAMES) -> DataFrame:
     """node, component of the names that links (a, b, score) join, none with more than ``most`` names.
 
-    Larger components are joined anew by links of a higher score, in steps of a fifth of what is left to 100, until they are small
+    Larger components are joined anew by links of a higher score, of 90, 95 and at last 100, until they are small
     enough; what identical scores still hold together then is cut in the order of its names. Average linkage joins the
     most alike first, so a cut separates what it would join last. Names without a link that is left are not listed.
     """
@@ -138,7 +138,7 @@ def linked_parts(links: DataFrame, percent: int = PERCENT, most: int = LINKED_NA
             place = F.row_number().over(Window.partitionBy("component").orderBy("node")) - 1
             cut = big.withColumn("_k", F.floor(place / most))
             return found.unionByName(cut.select("node", F.min("node").over(Window.partitionBy("component", "_k")).alias("component")))
-        least += (100 - least) / 5
+        least = next((x for x in (90.0, 95.0) if x > least), 99.95)
         inside = big.select("node")
         level = written(level.where(F.col("score") >= least).join(inside.withColumnRenamed("node", "a"), "a", "left_semi").join(inside.withColumnRenamed("node", "b"), "b", "left_semi"))
 

@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from skein.functions import vectors as V
 from skein.operators import communities, context, traversal
 from skein.operators.retrieval import boosted, first_wins, top_per_group
-from skein.session import checkpoint
+from skein.providers import Timer
+from skein.session import checkpoint, written
 
 
 @dataclass(frozen=True)
@@ -29,9 +30,11 @@ class Graph:
     communities: DataFrame
     members: DataFrame
 
-    def ways(self) -> DataFrame:
+    def ways(self, kinds: list[str] | None = None) -> DataFrame:
+        """src, dst in both directions, of the given types of relations or of all; written once, as every hop reads it."""
+        kept = self.relations if kinds is None else self.relations.where(F.col("relation_type").isin(kinds))
         both = F.array(F.struct(F.col("source_id").alias("src"), F.col("target_id").alias("dst")), F.struct(F.col("target_id").alias("src"), F.col("source_id").alias("dst")))
-        return self.relations.select(F.inline(both)).where("src <> dst").distinct()
+        return written(kept.select(F.inline(both)).where("src <> dst").distinct())
 
 
 @dataclass(frozen=True)
@@ -199,11 +202,25 @@ def global_search(graph: Graph, query: list[float], params: GlobalParams = Globa
     ])
 
 
+def expand(graph: Graph, seeds: DataFrame, depth: int = 12, limit: int = 30, kinds: list[str] | None = None) -> DataFrame:
+    """node, hop: entities within ``depth`` relations of any seed, each once; only entities of the graph are walked on."""
+    known = graph.entities.select(F.col("id").alias("dst"))
+    return traversal.hops(graph.ways(kinds).join(known, "dst", "left_semi"), seeds, depth, limit)
+
+
 def graph_search(graph: Graph, query: list[float], names: DataFrame) -> DataFrame:
-    """strategy, context, approx_token_count: the three searches of one graph."""
-    parts = (("global", global_search(graph, query)), ("local", local_search(graph, query, names)), ("drift", drift_search(graph, query, names)))
-    out = None
-    for name, rows in parts:
-        rows = rows.select(F.lit(name).alias("strategy"), "context", "approx_token_count")
-        out = rows if out is None else out.unionByName(rows)
-    return out
+    """strategy, context, approx_token_count, time_taken, error: the three searches of one graph.
+
+    Each search is run and timed on its own; one that fails gives its error and no context.
+    """
+    spark = graph.entities.sparkSession
+    rows = []
+    for name, run in (("global", lambda: global_search(graph, query)), ("local", lambda: local_search(graph, query, names)), ("drift", lambda: drift_search(graph, query, names))):
+        text, tokens, error = None, 0, None
+        with Timer() as timer:
+            try:
+                text, tokens = run().select("context", "approx_token_count").first()  # one row
+            except Exception as failed:  # a failed search leaves the others alone
+                error = f"{type(failed).__name__}: {failed}"[:2000]
+        rows.append((name, text, tokens, timer.seconds, error))
+    return spark.createDataFrame(rows, "strategy string, context string, approx_token_count int, time_taken double, error string")

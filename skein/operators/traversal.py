@@ -20,13 +20,16 @@ def hops(edges: DataFrame, seeds: DataFrame, max_hops: int, limit: int | None =
     hop and id are returned.
     """
     seen = written(seeds.select(F.col("node"), F.lit(0).alias("hop")).where("node IS NOT NULL").distinct())
-    frontier = seen
+    frontier, met = seen, 0
     for hop in range(1, max_hops + 1):
         reached = frontier.select(F.col("node").alias("src")).join(edges.select("src", "dst"), "src").select(F.col("dst").alias("node")).distinct()
         frontier = written(reached.join(seen.select("node"), "node", "left_anti").withColumn("hop", F.lit(hop)))
-        if frontier.isEmpty():
+        new = frontier.count()
+        if not new:
             break
-        seen = seen.unionByName(frontier)
+        seen, met = seen.unionByName(frontier), met + new
+        if limit is not None and met >= limit:
+            break  # nodes of a later hop come after all these
     found = seen.where("hop > 0")
     return found.orderBy("hop", "node").limit(limit) if limit is not None else found
 
@@ -159,3 +162,26 @@ def component_statistics(edges: DataFrame) -> DataFrame:
     w = weak.agg(F.count(F.lit(1)).alias("num_wcc"), F.max("n").alias("largest_wcc_size"))
     s = strong.agg(F.count(F.lit(1)).alias("num_scc"), F.max("n").alias("largest_scc_size"))
     return w.crossJoin(s)
+
+
+def graph_statistics(edges: DataFrame, kind: str, nodes: DataFrame, levels: DataFrame) -> DataFrame:
+    """One row: graph_type, nodes, relationships, communities of three levels, distances and components.
+
+    ``edges`` has src and dst, directed; ``nodes`` node; ``levels`` node, level, community. The mean distance is that of
+    the largest strong component along the edges, diameter and radius those of the largest weak one in both directions; a
+    component of one node has 0.
+    """
+    plain = written(edges.select("src", "dst").distinct())
+    both = F.array(F.struct("src", "dst"), F.struct(F.col("dst").alias("src"), F.col("src").alias("dst")))
+    ways = written(plain.select(F.inline(both)).where("src <> dst").distinct())
+    strong, weak = written(strong_components(plain)), written(connected_components(plain))
+    core = largest(strong)
+    inside = plain.join(core.withColumnRenamed("node", "src"), "src", "left_semi").join(core.withColumnRenamed("node", "dst"), "dst", "left_semi")
+    far = distance_profile(inside, core).agg(F.round(F.coalesce(F.try_divide(F.sum(F.col("hop") * F.col("pairs")), F.sum("pairs")), F.lit(0.0)), 6).alias("mean_distance"))
+    ends = distance_profile(ways, largest(weak)).where("ended > 0").agg(F.max("hop").alias("diameter"), F.min("hop").alias("radius"))
+    sizes = lambda parts, name: parts.groupBy("component").agg(F.count(F.lit(1)).alias("n")).agg(F.count(F.lit(1)).alias(f"num_{name}"), F.max("n").alias(f"largest_{name}_size"))
+    counted = nodes.agg(F.count(F.lit(1)).alias("number_of_nodes")).crossJoin(edges.agg(F.count(F.lit(1)).alias("number_of_relationships")))
+    found = levels.agg(*(F.count_distinct(F.when(F.col("level") == k, F.col("community"))).alias(f"communities_level_{k + 1}") for k in range(3)))
+    # Each side is one row.
+    row = counted.crossJoin(found).crossJoin(far).crossJoin(ends).crossJoin(sizes(weak, "wcc")).crossJoin(sizes(strong, "scc"))
+    return row.select(F.lit(kind).alias("graph_type"), *row.columns)

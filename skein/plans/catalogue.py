@@ -7,7 +7,7 @@ from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ("text_queries", "vector_queries", "graph_queries", "community_queries", "evaluation_queries", "search_queries", "store_queries", "model_queries")
+MODULES = ("text_queries", "vector_queries", "graph_queries", "community_queries", "evaluation_queries", "search_queries", "store_queries", "model_queries", "table_queries")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -195,8 +195,8 @@ SQL = {
     "bfs_hops": f"""WITH RECURSIVE {_E}, h AS (SELECT human_readable_id AS node, 0 AS hop FROM entities WHERE human_readable_id % 20 = 0 UNION SELECT u.dst, hop + 1 FROM h JOIN u ON u.src = h.node WHERE hop < 4)
         SELECT node, CAST(min(hop) AS INTEGER) AS hop FROM h GROUP BY node HAVING min(hop) > 0""",
     "mean_distance": f"""{_SCC}, big AS (SELECT component FROM s GROUP BY component ORDER BY count(*) DESC, component LIMIT 1), core AS (SELECT node FROM s JOIN big USING (component)), ie AS (SELECT src, dst FROM d WHERE src IN (SELECT node FROM core) AND dst IN (SELECT node FROM core)),
-        h AS (SELECT node AS source, node, 0 AS hop FROM core WHERE node % 20 = 0 UNION SELECT h.source, ie.dst, hop + 1 FROM h JOIN ie ON ie.src = h.node WHERE hop < 30), b AS (SELECT source, node, min(hop) AS hop FROM h GROUP BY ALL) SELECT count(*) AS pairs, round(avg(hop), 6) AS mean_distance FROM b WHERE hop > 0""",
-    "ecc_diameter_radius": f"""{_WCC}, big AS (SELECT component FROM c GROUP BY component ORDER BY count(*) DESC, component LIMIT 1), h AS (SELECT node AS source, node, 0 AS hop FROM c JOIN big USING (component) WHERE node % 20 = 0 UNION SELECT h.source, u.dst, hop + 1 FROM h JOIN u ON u.src = h.node WHERE hop < 20),
+        h AS (SELECT node AS source, node, 0 AS hop FROM core UNION SELECT h.source, ie.dst, hop + 1 FROM h JOIN ie ON ie.src = h.node WHERE hop < 30), b AS (SELECT source, node, min(hop) AS hop FROM h GROUP BY ALL) SELECT count(*) AS pairs, round(avg(hop), 6) AS mean_distance FROM b WHERE hop > 0""",
+    "ecc_diameter_radius": f"""{_WCC}, big AS (SELECT component FROM c GROUP BY component ORDER BY count(*) DESC, component LIMIT 1), h AS (SELECT node AS source, node, 0 AS hop FROM c JOIN big USING (component) UNION SELECT h.source, u.dst, hop + 1 FROM h JOIN u ON u.src = h.node WHERE hop < 20),
         b AS (SELECT source, node, min(hop) AS hop FROM h GROUP BY ALL), x AS (SELECT source, max(hop) AS ecc FROM b GROUP BY source) SELECT CAST(max(ecc) AS INTEGER) AS diameter, CAST(min(ecc) AS INTEGER) AS radius FROM x""",
     "community_members": f"WITH {_M} SELECT community, count(*) AS size, min(id) AS first_id, max(id) AS last_id FROM m GROUP BY community",
     "internal_relations": f"WITH {_E} SELECT ca AS community, id FROM e WHERE ca = cb",

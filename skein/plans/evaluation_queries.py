@@ -43,11 +43,7 @@ def contextual_recall(spark: SparkSession, folder: str) -> DataFrame:
 
 def answer_relevancy(spark: SparkSession, folder: str) -> DataFrame:
     """Share of the answer's sentences that share a term of four letters or more with the question."""
-    from skein.functions.text import terms
-
-    long = F.filter(terms(F.col("query")), lambda t: F.length(t) >= 4)
-    verdicts = F.transform(F.split("actual_output", r"\. "), lambda s: F.when(F.size(F.array_intersect(terms(s), long)) > 0, 1).otherwise(0))
-    return _records(spark, folder).select("record_id", F.round(EV.share(verdicts), 6).alias("score"))
+    return _records(spark, folder).select("record_id", F.round(EV.share(EV.relevancy_verdicts(F.col("actual_output"), F.col("query"))), 6).alias("score"))
 
 
 def fallback_flags(spark: SparkSession, folder: str) -> DataFrame:

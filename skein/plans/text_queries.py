@@ -62,9 +62,8 @@ def qa_batches(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def site_corpus(spark: SparkSession, folder: str) -> DataFrame:
-    """Size and digest of each source's texts joined in order by a blank line, without building the joined text twice."""
-    texts = table(spark, folder, "documents").where(F.col("text").isNotNull())
-    return texts.groupBy("source").agg(F.count(F.lit(1)).alias("items"), (F.sum(F.length("text")) + 2 * (F.count(F.lit(1)) - 1)).alias("chars"))
+    """The texts of each source in order, with where each starts in their concatenation with blank lines between."""
+    return chunking.corpus_parts(table(spark, folder, "documents"), "source", "doc_id", "text").select("source", "doc_id", "start", "chars", F.md5("text").alias("digest"))
 
 
 QUERIES = {f.__name__: f for f in (html_to_text, skip_blank, token_chunks, text_units, sentence_split, normalize_names, trim_words, token_counts, stable_ids, label_names, readable_ids, qa_batches, site_corpus)}
@@ -99,5 +98,5 @@ FROM documents""",
     "label_names": r"""SELECT id, CASE WHEN entity_type IS NOT NULL THEN array_to_string(list_transform(string_split(replace(replace(entity_type, '"', ''), '_', ' '), ' '), lambda w: upper(left(w, 1)) || lower(substr(w, 2))), '') END AS label FROM entities""",
     "readable_ids": "SELECT id, title, row_number() OVER (ORDER BY title, id) - 1 AS human_readable_id FROM entities",
     "qa_batches": "SELECT doc_id, CAST(floor((row_number() OVER (ORDER BY doc_id) - 1) / 34) AS BIGINT) AS batch FROM documents",
-    "site_corpus": "SELECT source, count(*) AS items, CAST(sum(length(text)) + 2 * (count(*) - 1) AS BIGINT) AS chars FROM documents WHERE text IS NOT NULL GROUP BY source",
+    "site_corpus": "SELECT source, doc_id, CAST(coalesce(sum(length(text) + 2) OVER (PARTITION BY source ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start, CAST(length(text) AS INTEGER) AS chars, md5(text) AS digest FROM documents WHERE text IS NOT NULL AND source IS NOT NULL",
 }

@@ -179,8 +179,11 @@ class Timer:
 EMPTY = {"chunk": "Empty chunk", "entity": "Unknown entity", "community": "Empty community"}
 
 
-def embed_rows(rows: DataFrame, key: str, text: str, embedder: Embedder, kind: str = "chunk", name: str = "embedding") -> DataFrame:
-    """key and vector of each row, in Arrow batches of 32 texts a call; null and empty texts are embedded as the stand-in."""
+def embed_rows(rows: DataFrame, key: str, text: str, embedder: Embedder, kind: str = "chunk", name: str = "embedding", skip_failed: bool = False, size: int = 32) -> DataFrame:
+    """key and vector of each row, ``size`` texts a call; null and empty texts are embedded as the stand-in.
+
+    With ``skip_failed`` the rows of a call that raises get a null vector; else the error ends the job.
+    """
     from pyspark.sql import types as T
 
     schema = rows.select(key).schema.add(name, T.ArrayType(T.DoubleType()))
@@ -188,7 +191,14 @@ def embed_rows(rows: DataFrame, key: str, text: str, embedder: Embedder, kind: s
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = [t if t and t.strip() else EMPTY[kind] for t in batch.column(1).to_pylist()]
-            vectors = [v for i in range(0, len(texts), 32) for v in embedder.embed(texts[i : i + 32])]
+            vectors: list = []
+            for i in range(0, len(texts), size):
+                try:
+                    vectors += embedder.embed(texts[i : i + size])
+                except Exception:
+                    if not skip_failed:
+                        raise
+                    vectors += [None] * len(texts[i : i + size])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(vectors, pa.list_(pa.float64()))], names=[key, name])
 
     return rows.select(key, text).mapInArrow(run, schema)

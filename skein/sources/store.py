@@ -56,8 +56,11 @@ class GraphStore:
     spark: SparkSession
     folder: str
 
-    def write(self, prefix: str, tables: dict[str, DataFrame]) -> dict[str, list[str]]:
-        """Write the tables of one graph, nodes before edges; returns the issues of those that were not written."""
+    def write(self, prefix: str, tables: dict[str, DataFrame], sequence: str = "_sequence") -> dict[str, list[str]]:
+        """Write the tables of one graph, nodes before edges; returns the issues of those that were not written.
+
+        A row without its key is left out; of several with one key the one of highest ``sequence`` stays.
+        """
         refused = {}
         for name in TABLES:
             if name not in tables:
@@ -67,7 +70,9 @@ class GraphStore:
                 refused[name] = found
                 continue
             keys = list(TABLES[name])
-            keyed = tables[name].where(" AND ".join(f"{k} IS NOT NULL" for k in keys)).dropDuplicates(keys)
+            good = tables[name].where(" AND ".join(f"{k} IS NOT NULL" for k in keys))
+            # As repeated upserts leave it: the last row of a key, or any of equal ones where no order is given.
+            keyed = last_wins(good, keys, sequence).drop(sequence) if sequence in good.columns else first_wins(good, keys, [F.to_json(F.struct(*good.columns))])
             rows = keyed.withColumn("graph_prefix", F.lit(prefix))
             rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("graph_prefix").parquet(f"{self.folder}/{name}")
         return refused
@@ -108,3 +113,36 @@ def write_database(rows: DataFrame, url: str, name: str, properties: dict[str, s
 def write_metrics(rows: DataFrame, folder: str, mode: str = "append") -> None:
     """Metric records by strategy, with their level."""
     rows.write.mode(mode).partitionBy("search_type").parquet(folder)
+
+
+# The columns of a row of graph statistics, in order.
+STATISTICS = (
+    "graph_type", "number_of_nodes", "number_of_relationships", "mean_distance", "diameter", "radius", "num_wcc", "largest_wcc_size", "num_scc", "largest_scc_size",
+    "communities_level_1", "communities_level_2", "communities_level_3",
+)
+
+
+def write_statistics(rows: DataFrame, path: str) -> None:
+    """One JSON row for each graph; columns that a graph lacks are null."""
+    kept = [F.col(c) if c in rows.columns else F.lit(None).cast("double").alias(c) for c in STATISTICS]
+    rows.select(*kept).write.mode("overwrite").option("ignoreNullFields", False).json(path)
+
+
+def load_all(metrics: DataFrame, statistics: DataFrame, url: str, properties: dict[str, str] | None = None) -> list[str]:
+    """Every strategy's metric records into a table of its own, and the statistics into one; the names of the tables."""
+    names = sorted(r[0] for r in metrics.select("search_type").where("search_type IS NOT NULL").distinct().collect())  # nine strategies
+    for name in names:
+        write_database(metrics.where(F.col("search_type") == name), url, f"{name}_metrics", properties)
+    write_database(statistics, url, "graph_statistics", properties, "overwrite")
+    return [*(f"{n}_metrics" for n in names), "graph_statistics"]
+
+
+def metric_views(metrics: DataFrame, scores: list[str]) -> dict[str, DataFrame]:
+    """What a dashboard asks for, also registered as temporary views: means by strategy, by level, over time, and fallbacks."""
+    means = [F.count(F.lit(1)).alias("records"), *(F.round(F.avg(F.coalesce(c, F.lit(0.0))), 6).alias(c) for c in scores)]
+    by_time = metrics.groupBy("search_type", F.date_trunc("day", "created_at").alias("day")).agg(*means)
+    flags = [F.count_if(F.coalesce(c, F.lit(False))).alias(c) for c in metrics.columns if c.startswith(("fallback_used", "final_state_failed"))]
+    views = {"metrics_by_strategy": metrics.groupBy("search_type").agg(*means), "metrics_by_level": metrics.groupBy("search_type", "qa_level").agg(*means), "metrics_by_day": by_time, "metric_fallbacks": metrics.groupBy("search_type").agg(*flags)}
+    for name, view in views.items():
+        view.createOrReplaceTempView(name)
+    return views
