@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skein.session import written
+from skein.session import discard, written
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -32,8 +32,9 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
     """node, component: the least node of the weak component of every node that an edge names.
 
     Edges may repeat, run both ways or be self loops; an edge with a null end is dropped. The number of rounds grows
-    with the logarithm of the largest component, each round is two joins on the node, and a hub meets only the partial
-    minimum of its neighbours. Lineage is cut by a reliable checkpoint each round.
+    with the logarithm of the largest component, and each round is two joins on the node. The minimum around a hub is
+    aggregated on the map side; the join that hands it to the hub's neighbours is left to the adaptive skew join, which
+    splits the hub's side. Each round is written, and the round before it removed.
     """
     plain = edges.select(F.col(src).alias("u"), F.col(dst).alias("v")).where(F.col("u").isNotNull() & F.col("v").isNotNull())
     plain = written(plain.distinct())
@@ -41,7 +42,8 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
     now = plain.where(F.col("u") != F.col("v"))
     seen = None
     for _ in range(max_rounds):
-        now = written(_star(_star(now, True), False))
+        before, now = now, written(_star(_star(now, True), False))
+        discard(before)
         state = _state(now)
         if state == seen:
             break

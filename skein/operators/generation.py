@@ -22,9 +22,9 @@ REPLY = T.StructType([
 ])
 
 
-def _say(maker: Callable[[], Generator], prompt: str, tries: int, delay: float, accept: Callable[[str], object] | None) -> tuple:
+def _say(model: Generator, prompt: str, tries: int, delay: float, accept: Callable[[str], object] | None) -> tuple:
     """answer, model, tries, error, tokens, seconds of one prompt; the wait doubles after every failed try."""
-    model, began, error = maker(), time.perf_counter(), None
+    began, error = time.perf_counter(), None
     for attempt in range(1, tries + 1):
         try:
             reply = model.generate(prompt)
@@ -48,15 +48,15 @@ def complete(rows: DataFrame, keys: list[str], prompt: Column, maker: Callable[[
     schema = T.StructType([*rows.select(*keys).schema, *REPLY])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = to_arrow_schema(REPLY)
+        kinds, first, second = to_arrow_schema(REPLY), maker(), fallback() if fallback is not None else None
         for batch in batches:
             out = []
             for text in batch.column(len(keys)).to_pylist():
                 if text is None:
                     out.append((None, None, 0, None, 0, 0, 0, 0.0))
                     continue
-                said = _say(maker, text, tries, delay, accept)
-                out.append(_say(fallback, text, tries, delay, accept) if said[0] is None and fallback is not None else said)
+                said = _say(first, text, tries, delay, accept)
+                out.append(_say(second, text, tries, delay, accept) if said[0] is None and second is not None else said)
             columns = list(zip(*out)) if out else [[]] * len(kinds)
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keys)], *(pa.array(c, f.type) for c, f in zip(columns, kinds))], names=schema.names)
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from skein.operators.chunking import numbered
 from skein.operators.components import connected_components
-from skein.session import checkpoint, written
+from skein.session import checkpoint, discard, written
 
 
 def hops(edges: DataFrame, seeds: DataFrame, max_hops: int, limit: int | None = None) -> DataFrame:
@@ -76,10 +76,12 @@ def distance_profile(edges: DataFrame, nodes: DataFrame, words: int = 8) -> Data
             found, *masks = fresh.agg(count, *either).first()
             going = sum(((m or 0) & (2**64 - 1)) << (64 * i) for i, m in enumerate(masks))
             ended[hop] += (alive & ~going).bit_count()
-            alive, frontier, hop = going, fresh, hop + 1
+            old, alive, frontier, hop = (seen, frontier), going, fresh, hop + 1
             if going:
                 pairs[hop] += found
                 seen = written(seen.unionByName(fresh).groupBy("node").agg(*either))
+            discard(*old)
+        discard(frontier)
     rows = [(h, pairs[h], ended[h]) for h in sorted(pairs)]
     return edges.sparkSession.createDataFrame(rows, "hop int, pairs bigint, ended bigint")
 
@@ -90,12 +92,13 @@ def _spread(edges: DataFrame, labels: DataFrame, keep: DataFrame | None = None)
     if keep is not None:
         links = edges.join(keep.select(F.col("node").alias("src"), F.col("mark").alias("a")), "src").join(keep.select(F.col("node").alias("dst"), F.col("mark").alias("b")), "dst").where("a = b").select("src", "dst")
         links = written(links)
-    now = labels
+    now, table = labels, None
     while True:
         sent = links.join(now.select(F.col("node").alias("src"), "label"), "src").groupBy(F.col("dst").alias("node")).agg(F.max("label").alias("got"))
         moved = now.join(sent, "node", "left").select("node", F.greatest("label", F.coalesce("got", "label")).alias("label"), (F.col("got") > F.col("label")).alias("changed"))
         moved = written(moved)
-        now = moved.select("node", "label")
+        discard(table)
+        table, now = moved, moved.select("node", "label")
         if moved.where("changed").isEmpty():
             return now
 

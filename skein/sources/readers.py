@@ -9,9 +9,9 @@ from pyspark.sql import types as T
 PAGE = T.StructType([T.StructField(n, T.StringType()) for n in ("chunk", "url", "timestamp", "_corrupt_record")])
 
 
-def page_json(spark: SparkSession, path: str) -> DataFrame:
-    """chunk, url, crawled_at of JSON lists of pages; broken files and rows are left out."""
-    rows = spark.read.schema(PAGE).option("multiLine", True).option("mode", "PERMISSIVE").json(path)
+def page_json(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """chunk, url, crawled_at of JSON lists of pages, or of one page a line; broken files and rows are left out."""
+    rows = spark.read.schema(PAGE).option("multiLine", not lines).option("mode", "PERMISSIVE").json(path)
     good = rows.where(F.col("_corrupt_record").isNull() & F.col("chunk").isNotNull())
     return good.select("chunk", "url", F.try_to_timestamp("timestamp").alias("crawled_at"))
 
