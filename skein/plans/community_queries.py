@@ -86,7 +86,8 @@ def _inside(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def community_members(spark: SparkSession, folder: str) -> DataFrame:
-    return _members(spark, folder).groupBy("community").agg(F.count(F.lit(1)).alias("size"), F.min("id").alias("first_id"), F.max("id").alias("last_id"))
+    members = _members(spark, folder).select("community", "id")
+    return members.join(members.groupBy("community").agg(F.count(F.lit(1)).alias("size")), "community")
 
 
 def internal_relations(spark: SparkSession, folder: str) -> DataFrame:
@@ -95,8 +96,7 @@ def internal_relations(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def community_text_units(spark: SparkSession, folder: str) -> DataFrame:
-    rows = _members(spark, folder).select("community", F.explode("text_unit_ids").alias("unit")).distinct()
-    return rows.groupBy("community").agg(F.count(F.lit(1)).alias("units"), F.min("unit").alias("first_unit"))
+    return _members(spark, folder).select("community", F.explode("text_unit_ids").alias("unit")).distinct()
 
 
 def community_title_top3(spark: SparkSession, folder: str) -> DataFrame:
@@ -116,7 +116,7 @@ def importance_score(spark: SparkSession, folder: str) -> DataFrame:
 
 def community_report_template(spark: SparkSession, folder: str) -> DataFrame:
     found = C.reports(_members(spark, folder).select("community", "title", "entity_type", "description", "degree"), _inside(spark, folder).select("community", "source", "target", "description", "weight"))
-    return found.select("community", "title", "summary", "rank", "rating_explanation", F.size("findings").alias("findings"))
+    return found.select("community", "title", "summary", "rank", "rating_explanation", F.array_join("findings", " | ").alias("findings"), F.md5("full_content").alias("content"))
 
 
 def communities_with_reports(spark: SparkSession, folder: str) -> DataFrame:
@@ -198,16 +198,19 @@ SQL = {
         h AS (SELECT node AS source, node, 0 AS hop FROM core UNION SELECT h.source, ie.dst, hop + 1 FROM h JOIN ie ON ie.src = h.node WHERE hop < 30), b AS (SELECT source, node, min(hop) AS hop FROM h GROUP BY ALL) SELECT count(*) AS pairs, round(avg(hop), 6) AS mean_distance FROM b WHERE hop > 0""",
     "ecc_diameter_radius": f"""{_WCC}, big AS (SELECT component FROM c GROUP BY component ORDER BY count(*) DESC, component LIMIT 1), h AS (SELECT node AS source, node, 0 AS hop FROM c JOIN big USING (component) UNION SELECT h.source, u.dst, hop + 1 FROM h JOIN u ON u.src = h.node WHERE hop < 20),
         b AS (SELECT source, node, min(hop) AS hop FROM h GROUP BY ALL), x AS (SELECT source, max(hop) AS ecc FROM b GROUP BY source) SELECT CAST(max(ecc) AS INTEGER) AS diameter, CAST(min(ecc) AS INTEGER) AS radius FROM x""",
-    "community_members": f"WITH {_M} SELECT community, count(*) AS size, min(id) AS first_id, max(id) AS last_id FROM m GROUP BY community",
+    "community_members": f"WITH {_M} SELECT community, id, count(*) OVER (PARTITION BY community) AS size FROM m",
     "internal_relations": f"WITH {_E} SELECT ca AS community, id FROM e WHERE ca = cb",
-    "community_text_units": f"WITH {_M} SELECT community, count(DISTINCT unit) AS units, min(unit) AS first_unit FROM (SELECT community, unnest(text_unit_ids) AS unit FROM m) GROUP BY community",
+    "community_text_units": f"WITH {_M} SELECT DISTINCT community, unnest(text_unit_ids) AS unit FROM m",
     "community_title_top3": f"WITH {_M} SELECT community, rank, title FROM (SELECT *, row_number() OVER (PARTITION BY community ORDER BY degree DESC NULLS LAST, title) AS rank FROM m) WHERE rank <= 3",
     "type_histogram": f"WITH {_M}, {_KINDS} SELECT community, rank, entity_type, n FROM kk WHERE rank <= 3",
     "importance_score": f"WITH {_M}, {_E}, {_RANK} SELECT community, rank FROM rk",
-    "community_report_template": f"""WITH {_M}, {_E}, {_RANK}, {_TITLES}, {_KINDS}, ks AS (SELECT community, string_agg(n || ' ' || coalesce(entity_type, 'None'), ', ' ORDER BY rank) AS kinds FROM kk WHERE rank <= 3 GROUP BY community)
-        SELECT community, title, 'This community contains ' || n || ' entities (' || kinds || ') with ' || r || ' relationships. The main entities include ' || title || '.' AS summary, rank,
-        'The impact severity rating is ' || CASE WHEN rank >= 7.5 THEN 'high' ELSE 'medium' END || ' due to the ' || n || ' entities and ' || r || ' relationships in this community.' AS rating_explanation, CAST(CASE WHEN r > 0 THEN 3 ELSE 2 END AS INTEGER) AS findings
-        FROM rk JOIN tt USING (community) JOIN ks USING (community)""",
+    "community_report_template": f"""WITH {_M}, {_E}, {_RANK}, {_TITLES}, {_KINDS}, ks AS (SELECT community, string_agg(n || ' ' || coalesce(entity_type, 'None'), ', ' ORDER BY rank) AS kinds, max(CASE WHEN rank = 1 THEN 'The most common entity type is ' || coalesce(entity_type, 'None') || ' with ' || n || ' instances.' END) AS third FROM kk WHERE rank <= 3 GROUP BY community),
+        ke AS (SELECT community, title || ' is a key entity in this community with ' || degree || ' connections.' AS first FROM (SELECT *, row_number() OVER (PARTITION BY community ORDER BY degree DESC NULLS LAST, title) AS k FROM m) WHERE k = 1),
+        st AS (SELECT community, 'The strongest relationship is between ' || source || ' and ' || target || ' (' || coalesce(description, '') || ').' AS second FROM (SELECT *, ca AS community, row_number() OVER (PARTITION BY ca ORDER BY coalesce(weight, -1) DESC, source, target, description NULLS FIRST) AS k FROM e WHERE ca = cb) WHERE k = 1),
+        kr AS (SELECT community, string_agg('- ' || source || ' → ' || coalesce(description, '') || ' → ' || target, chr(10) ORDER BY k) AS lines FROM (SELECT *, ca AS community, row_number() OVER (PARTITION BY ca ORDER BY source, target, description NULLS FIRST) AS k FROM e WHERE ca = cb) WHERE k <= 10 GROUP BY community),
+        al AS (SELECT *, 'This community contains ' || n || ' entities (' || kinds || ') with ' || r || ' relationships. The main entities include ' || title || '.' AS summary FROM rk JOIN tt USING (community) JOIN ks USING (community) JOIN ke USING (community) LEFT JOIN st USING (community) LEFT JOIN kr USING (community))
+        SELECT community, title, summary, rank, 'The impact severity rating is ' || CASE WHEN rank >= 7.5 THEN 'high' ELSE 'medium' END || ' due to the ' || n || ' entities and ' || r || ' relationships in this community.' AS rating_explanation,
+        concat_ws(' | ', first, second, third) AS findings, md5('# ' || title || chr(10) || chr(10) || summary || chr(10) || chr(10) || '## Key Relationships' || chr(10) || chr(10) || coalesce(lines, '')) AS content FROM al""",
     "communities_with_reports": f"WITH {_M}, {_E}, {_RANK}, {_TITLES} SELECT community, n AS size, CASE WHEN n > 10 THEN title ELSE '' END AS title, CASE WHEN n > 10 THEN rank ELSE 0 END AS rank FROM rk JOIN tt USING (community)",
     "community_hierarchy": """WITH r AS (SELECT 0 AS level, CAST(r_regionkey AS BIGINT) AS community, CAST(-1 AS BIGINT) AS parent, r_name AS name FROM region UNION ALL SELECT 1, n_nationkey + 1000, n_regionkey, n_name FROM nation UNION ALL SELECT 2, s_suppkey + 10000, s_nationkey + 1000, s_name FROM supplier)
         SELECT a.level, a.community, a.name, b.name AS parent_name, (SELECT count(*) FROM r c WHERE c.parent = a.community) AS children FROM r a LEFT JOIN r b ON b.community = a.parent""",

@@ -41,7 +41,7 @@ def event_windows(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def event_sessions(spark: SparkSession, folder: str) -> DataFrame:
-    return streams.sessions(table(spark, folder, "events")).groupBy("user_id").agg(F.count(F.lit(1)).alias("sessions"), F.sum("events").alias("events"))
+    return streams.sessions(table(spark, folder, "events")).select("user_id", F.col("session_start").cast("timestamp_ntz").alias("session_start"), "events")
 
 
 def _place(df: DataFrame, name: str) -> str:
@@ -89,5 +89,5 @@ SQL = {
     "graph_prefixes": "SELECT DISTINCT CASE WHEN human_readable_id % 2 = 0 THEN 'DL' ELSE 'LLM' END AS graph_prefix FROM entities",
     "refetched_pages": "SELECT url, page_id, fetches FROM (SELECT url, page_id, count(*) OVER (PARTITION BY url) AS fetches, row_number() OVER (PARTITION BY url ORDER BY crawled_at DESC, page_id DESC) AS k FROM crawl_pages WHERE url IS NOT NULL) WHERE k = 1",
     "event_windows": "SELECT date_trunc('hour', ts) AS window_start, event_type, count(*) AS events, round(sum(value), 4) AS total FROM events GROUP BY ALL",
-    "event_sessions": "WITH g AS (SELECT user_id, ts, CASE WHEN lag(ts) OVER (PARTITION BY user_id ORDER BY ts) IS NULL OR ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) >= INTERVAL 30 MINUTE THEN 1 ELSE 0 END AS new FROM events) SELECT user_id, CAST(sum(new) AS BIGINT) AS sessions, count(*) AS events FROM g GROUP BY user_id",
+    "event_sessions": "WITH g AS (SELECT user_id, ts, CASE WHEN lag(ts) OVER (PARTITION BY user_id ORDER BY ts) IS NULL OR ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) >= INTERVAL 30 MINUTE THEN 1 ELSE 0 END AS new FROM events), n AS (SELECT user_id, ts, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS session FROM g) SELECT user_id, min(ts) AS session_start, count(*) AS events FROM n GROUP BY user_id, session",
 }

@@ -101,7 +101,7 @@ def vector_strategies(spark: SparkSession, folder: str) -> DataFrame:
     dense, sparse = retrieval.nearest(chunks, vectors, 20, "doc_id"), retrieval.sparse_search(chunks, questions, 20)
     out = None
     for name, found in (("dense", dense), ("sparse", sparse), ("hybrid", retrieval.fuse([dense, sparse], 4, "doc_id"))):
-        part = found.where("rank <= 4").groupBy("query_id").agg(F.count(F.lit(1)).alias("found"), F.round(F.max("score"), 6).alias("best")).withColumn("strategy", F.lit(name))
+        part = _scored(found.where("rank <= 4").select(F.lit(name).alias("strategy"), "query_id", "doc_id", "rank", "score"))
         out = part if out is None else out.unionByName(part)
     return out
 
@@ -157,8 +157,8 @@ SQL = {
     "label_mean_relevance": f"WITH {_ZERO} SELECT label, count(*) AS points, round(0.6 * avg(score) + 0.4 / count(*), 6) AS blended FROM s GROUP BY label",
     "bm25_tf_topk": f"WITH {_BM} SELECT query_id, doc_id, round(score, 6) AS score FROM sr WHERE rank <= 4",
     "rrf_fusion": f"WITH {_BM} SELECT query_id, doc_id, rank, round(score, 6) AS score FROM h WHERE rank <= 4",
-    "vector_strategies": f"""WITH {_BM}, a AS (SELECT 'dense' AS strategy, query_id, score FROM dr WHERE rank <= 4 UNION ALL SELECT 'sparse', query_id, score FROM sr WHERE rank <= 4 UNION ALL SELECT 'hybrid', query_id, score FROM h WHERE rank <= 4)
-        SELECT strategy, query_id, count(*) AS found, round(max(score), 6) AS best FROM a GROUP BY strategy, query_id""",
+    "vector_strategies": f"""WITH {_BM}, a AS (SELECT 'dense' AS strategy, query_id, doc_id, rank, score FROM dr WHERE rank <= 4 UNION ALL SELECT 'sparse', query_id, doc_id, rank, score FROM sr WHERE rank <= 4 UNION ALL SELECT 'hybrid', query_id, doc_id, rank, score FROM h WHERE rank <= 4)
+        SELECT strategy, query_id, doc_id, rank, round(score, 6) AS score FROM a""",
     "context_assembly": f"WITH {_BM} SELECT query_id, string_agg('title: ' || coalesce(d.title, '') || ' text: ' || coalesce(d.text, ''), chr(10) || chr(10) ORDER BY rank) AS context FROM h JOIN documents d USING (doc_id) WHERE rank <= 4 GROUP BY query_id",
     "sparse_vectors": """WITH t AS (SELECT doc_id, regexp_extract_all(lower(text), '[a-z0-9]+') AS t FROM documents WHERE text IS NOT NULL), r AS (SELECT doc_id, len(t) AS l, unnest(t) AS term FROM t),
         n AS (SELECT doc_id, l, term, CAST(count(*) AS DOUBLE) AS n FROM r GROUP BY ALL) SELECT doc_id, term, round(n * 2.2 / (n + 1.2 * (1 - 0.75 + 0.75 * l / 256.0)), 6) AS weight FROM n""",
