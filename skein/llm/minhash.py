@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -48,6 +49,12 @@ def signature_bands(text: str) -> list[int]:
     return mixed.astype(np.int64).tolist()
 
 
+def prefix(text: str, similarity: float) -> list[int]:
+    """Hashes of the first shingles in their order, so many that two texts of the similarity share one."""
+    found = np.sort(_hashes(shingles(text)))
+    return found[: len(found) - math.ceil(similarity * len(found) - 1e-9) + 1].astype(np.int64).tolist()
+
+
 def _pairs(links: list[tuple[int, int]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([x[k] for x in links], pa.int64()) for k in (0, 1)], names=["src", "dst"])
 
@@ -56,30 +63,37 @@ def text_classes(texts: DataFrame, key: str, text: str, similarity: float = SIMI
     """key, class_key: the least key of each text's class; texts must be distinct.
 
     Two texts are linked if they share a band and the Jaccard similarity of their shingles is verified. Inside a bucket
-    an inverted index finds the pairs, and only a spanning forest of the links leaves the task. A large bucket is cut
-    into blocks, and each pair of blocks is a task of its own. Texts without a link are their own class.
+    an inverted index finds the pairs, and only a spanning forest of the links leaves the task. A bucket of more than
+    ``BLOCK`` texts falls into smaller ones by the first shingles of each text in the order of their hashes: two texts
+    that are similar enough share one of those, so no link is lost. What is still larger then is cut into blocks, and each
+    pair of blocks is a task of its own. Texts without a link are their own class.
     """
-    schema = f"{key} bigint, {text} string, band bigint"
+    schema = f"{key} bigint, {text} string, band bigint, prefix array<bigint>"
 
     def bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, own, keys = [], [], []
+            ids, own, keys, starts = [], [], [], []
             for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 found = signature_bands(t or "")
                 ids += [i] * len(found)
                 own += [t] * len(found)
                 keys += found
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(own, pa.string()), pa.array(keys, pa.int64())], names=[key, text, "band"])
+                starts += [prefix(t or "", similarity)] * len(found)
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(own, pa.string()), pa.array(keys, pa.int64()), pa.array(starts, pa.list_(pa.int64()))], names=[key, text, "band", "prefix"])
 
     banded = written(texts.select(key, text).mapInArrow(bands, schema))
     sizes = banded.groupBy("band").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
-    blocks = F.ceil(F.col("members") / BLOCK).cast("int")
+    met = banded.join(sizes, "band")
+    small = met.where(F.col("members") <= BLOCK).select("band", F.lit(0).cast("bigint").alias("part"), key, text)
+    split = met.where(F.col("members") > BLOCK).select("band", F.explode("prefix").alias("part"), key, text)
+    parts = small.unionByName(split)
+    counts = parts.groupBy("band", "part").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
     placed = (
-        banded.join(sizes, "band")
-        .withColumn("blocks", blocks)
+        parts.join(counts, ["band", "part"])
+        .withColumn("blocks", F.ceil(F.col("members") / BLOCK).cast("int"))
         .withColumn("own", F.pmod(F.xxhash64(key), "blocks").cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .select("band", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own", key, text)
+        .select("band", "part", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own", key, text)
     )
 
     def forest(ids: list[int], own: list[int], found: list[frozenset], apart: bool) -> list[tuple[int, int]]:
@@ -109,18 +123,18 @@ def text_classes(texts: DataFrame, key: str, text: str, similarity: float = SIMI
         """Rows come sorted by bucket; one pair of blocks is held at a time."""
         now, ids, own, found, links = None, [], [], [], []
         for batch in batches:
-            for band, low, high, mine, i, t in zip(*(c.to_pylist() for c in batch.columns)):
-                if (band, low, high) != now:
-                    links += forest(ids, own, found, now is not None and now[1] != now[2])
-                    now, ids, own, found = (band, low, high), [], [], []
+            for band, part, low, high, mine, i, t in zip(*(c.to_pylist() for c in batch.columns)):
+                if (band, part, low, high) != now:
+                    links += forest(ids, own, found, now is not None and now[2] != now[3])
+                    now, ids, own, found = (band, part, low, high), [], [], []
                 ids.append(i)
                 own.append(mine)
                 found.append(shingles(t))
             yield _pairs(links)
             links = []
-        yield _pairs(forest(ids, own, found, now is not None and now[1] != now[2]))
+        yield _pairs(forest(ids, own, found, now is not None and now[2] != now[3]))
 
-    at = ["band", "low", "high"]
+    at = ["band", "part", "low", "high"]
     links = placed.repartition(*at).sortWithinPartitions(*at).mapInArrow(buckets, "src bigint, dst bigint")
     classes = connected_components(links).withColumnsRenamed({"node": key, "component": "class_key"})
     return texts.select(key).join(classes, key, "left").select(key, F.coalesce("class_key", key).alias("class_key"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from skein.llm import abuse, blocks, leakage, pairs, repeated_lines, residue, splitting, tokens
@@ -27,6 +27,17 @@ def _templates(records: DataFrame) -> DataFrame:
     return pairs.opening_templates(pairs.checkpoint(pairs.direct_checks(records)))
 
 
+def _round_trip(pages: DataFrame) -> DataFrame:
+    """page_id, digest, fits, overlaps: the pieces of each page put together again, and whether all keep size and overlap."""
+    found = splitting.split_pages(pages)
+    before = F.lag("piece").over(Window.partitionBy("page_id").orderBy("piece_no"))
+    own = F.when(F.col("piece_no") == 0, F.col("piece")).otherwise(F.substr("piece", F.lit(splitting.OVERLAP + 1)))
+    same = (F.col("piece_no") == 0) | (F.substring(before, -splitting.OVERLAP, splitting.OVERLAP) == F.substring("piece", 1, splitting.OVERLAP))
+    rows = found.select("page_id", "piece_no", own.alias("own"), (F.length("piece") <= splitting.LIMIT).alias("fits"), same.alias("overlaps"))
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("piece_no", "own"))), lambda s: s["own"]), "")
+    return rows.groupBy("page_id").agg(F.md5(joined).alias("digest"), F.bool_and("fits").alias("fits"), F.bool_and("overlaps").alias("overlaps"))
+
+
 def queries() -> dict[str, Query]:
     pages, documents, records = _over("crawl_pages"), _over("documents"), _over("metric_records")
     leak, judged = _over("documents", "eval_items"), _over("documents", "doc_labels")
@@ -41,6 +52,7 @@ def queries() -> dict[str, Query]:
         "p3_templates": records(_templates),
         "p4_found": pages(splitting.oversized),
         "p4_pieces": pages(splitting.split_pages),
+        "p4_round_trip": pages(_round_trip),
         "p5_found": pages(lambda p: residue.residue_pages(p).select("page_id")),
         "p5_evidence": pages(residue.residual_evidence),
         "p5_kept": pages(lambda p: residue.keep_content(p).select("page_id")),
@@ -82,6 +94,7 @@ def oracle_sql() -> dict[str, str]:
         SELECT page_id, CASE WHEN gone IS NULL THEN chunk ELSE array_to_string(list_filter(string_split(chunk, chr(10)), lambda x, i: NOT list_contains(gone, i - 1)), chr(10)) END AS chunk FROM crawl_pages LEFT JOIN gone USING (page_id)""",
         "p4_found": "SELECT page_id FROM crawl_pages WHERE length(chunk) > 4000",
         "p7_found": f"WITH {_GRAMS} SELECT DISTINCT doc_id, item_id FROM dg JOIN eg USING (g)",
+        "p4_round_trip": "SELECT page_id, md5(chunk) AS digest, true AS fits, true AS overlaps FROM crawl_pages WHERE length(chunk) > 0",
         "p7_matches": r"""WITH d AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM documents WHERE text IS NOT NULL),
         e AS (SELECT item_id, regexp_extract_all(lower(passage), '[\p{L}\p{N}]+') AS w FROM eval_items WHERE passage IS NOT NULL),
         di AS (SELECT doc_id, w, unnest(range(1, len(w) - 10)) AS i FROM d), dg AS (SELECT doc_id, i, array_to_string(w[i:i + 11], ' ') AS g FROM di),

@@ -108,14 +108,14 @@ def pieces(text: str, limit: int = LIMIT, overlap: int = OVERLAP) -> list[str]:
 
 
 def cut_pages(pages: DataFrame, limit: int = LIMIT, overlap: int = OVERLAP, key: str = "page_id", text: str = "chunk") -> DataFrame:
-    """key, text, cuts (array<int>) of the texts over the limit; null texts and texts that fit give no row."""
-    schema = pages.select(key, text).schema.add("cuts", T.ArrayType(T.IntegerType()))
+    """key, cuts (array<int>) of the texts over the limit; null texts and texts that fit give no row."""
+    schema = T.StructType([*pages.select(key).schema, T.StructField("cuts", T.ArrayType(T.IntegerType()))])
     over = pages.select(key, text).where(F.length(text) > limit)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             marks = [cuts(t, limit, overlap) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(marks, pa.list_(pa.int32()))], names=[key, text, "cuts"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(marks, pa.list_(pa.int32()))], names=[key, "cuts"])
 
     return over.mapInArrow(run, schema)
 
@@ -123,8 +123,8 @@ def cut_pages(pages: DataFrame, limit: int = LIMIT, overlap: int = OVERLAP, key:
 def split_pages(pages: DataFrame, limit: int = LIMIT, overlap: int = OVERLAP) -> DataFrame:
     """page_id, piece_no, start, piece: the pieces of every page with text.
 
-    ``start`` is the offset of the piece's own text, after its overlap. A page that fits gives one piece; a null or
-    empty chunk gives none. The pieces without their overlaps give back the chunk.
+    ``start`` is the offset of the piece's own text, after its overlap. A page that fits gives one piece, without leaving
+    the JVM; a null or empty chunk gives none. The pieces without their overlaps give back the chunk.
     """
     schema = "page_id bigint, piece_no int, start int, piece string"
 
@@ -140,7 +140,9 @@ def split_pages(pages: DataFrame, limit: int = LIMIT, overlap: int = OVERLAP) ->
                 names=["page_id", "piece_no", "start", "piece"],
             )
 
-    return pages.select("page_id", "chunk").where(F.length("chunk") > 0).mapInArrow(run, schema)
+    size = F.length("chunk")
+    fit = pages.where((size > 0) & (size <= limit)).select("page_id", F.lit(0).alias("piece_no"), F.lit(0).alias("start"), F.col("chunk").alias("piece"))
+    return fit.unionByName(pages.select("page_id", "chunk").where(size > limit).mapInArrow(run, schema))
 
 
 def oversized(pages: DataFrame, limit: int = LIMIT, overlap: int = OVERLAP) -> DataFrame:
