@@ -68,24 +68,29 @@ def text_classes(texts: DataFrame, key: str, text: str, similarity: float = SIMI
     that are similar enough share one of those, so no link is lost. What is still larger then is cut into blocks, and each
     pair of blocks is a task of its own. Texts without a link are their own class.
     """
-    schema = f"{key} bigint, {text} string, band bigint, prefix array<bigint>"
+    schema = f"{key} bigint, {text} string, band bigint"
 
     def bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, own, keys, starts = [], [], [], []
+            ids, own, keys = [], [], []
             for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 found = signature_bands(t or "")
                 ids += [i] * len(found)
                 own += [t] * len(found)
                 keys += found
-                starts += [prefix(t or "", similarity)] * len(found)
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(own, pa.string()), pa.array(keys, pa.int64()), pa.array(starts, pa.list_(pa.int64()))], names=[key, text, "band", "prefix"])
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(own, pa.string()), pa.array(keys, pa.int64())], names=[key, text, "band"])
+
+    def fall_apart(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            starts = [prefix(t, similarity) for t in batch.column(2).to_pylist()]
+            at = pa.array(np.repeat(np.arange(len(starts)), [len(s) for s in starts]))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), pa.array([x for s in starts for x in s], pa.int64()), batch.column(1).take(at), batch.column(2).take(at)], names=["band", "part", key, text])
 
     banded = written(texts.select(key, text).mapInArrow(bands, schema))
     sizes = banded.groupBy("band").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
     met = banded.join(sizes, "band")
     small = met.where(F.col("members") <= BLOCK).select("band", F.lit(0).cast("bigint").alias("part"), key, text)
-    split = met.where(F.col("members") > BLOCK).select("band", F.explode("prefix").alias("part"), key, text)
+    split = met.where(F.col("members") > BLOCK).select("band", key, text).mapInArrow(fall_apart, f"band bigint, part bigint, {key} bigint, {text} string")
     parts = small.unionByName(split)
     counts = parts.groupBy("band", "part").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
     placed = (

@@ -51,6 +51,8 @@ _quoted = re.compile(r"\"[^\"\n]*(?:\"|$)|“[^”\n]*(?:”|$)|«[^»\n]*(?:»|
 _bare = re.compile(r"[\W_]+")
 _label = re.compile(r"^\W*(?:question|query|prompt|q|frage|pregunta|answer|antwort|respuesta|réponse)\s*:\s*", re.I)
 _sentences = re.compile(r"(?<=[.!?])\s+").split
+_parts = re.compile(r"[\w'’\-]+").findall
+_digit = re.compile(r"\d").search
 _end = re.compile(r"[.!?。！？][\"'”’»)\]*_]*$")
 _off = re.compile(r"(?:\.\.\.|…|[,;:(\[\-–—/])[\"'”’»*_]*$")
 
@@ -104,13 +106,23 @@ def other_language(text: str, query: str | None) -> bool:
     return asked is not None and given is not None and given != asked and n >= 2 and n >= 2 * counts[asked]
 
 
+@lru_cache(10_000)
+def _asked_words(query: str) -> frozenset[str]:
+    return frozenset(re.findall(r"\w+", query))
+
+
+@lru_cache(10_000)
+def _template(query: str) -> str:
+    return opening(query, query)
+
+
 def opening(text: str, query: str | None) -> str:
     """The first sentence with its names and numbers masked, lower case."""
-    first = re.split(r"(?<=[.!?])\s+", text.strip(), maxsplit=1)[0]
-    asked = set(re.findall(r"\w+", query or ""))
+    first = _sentences(text.strip(), 1)[0]
+    asked = _asked_words(query or "")
     out: list[str] = []
-    for i, word in enumerate(re.findall(r"[\w'’\-]+", first)):
-        masked = any(c.isdigit() for c in word) or (word[:1].isupper() and (i > 0 or word in asked) and len(word) > 1)
+    for i, word in enumerate(_parts(first)):
+        masked = _digit(word) or (word[:1].isupper() and (i > 0 or word in asked) and len(word) > 1)
         word = "_" if masked else word.lower().replace("’", "'")
         if word != "_" or not out or out[-1] != "_":
             out.append(word)
@@ -207,7 +219,7 @@ def direct_checks(records: DataFrame) -> DataFrame:
         for batch in batches:
             rows = []
             for record, query, *answers in zip(*(c.to_pylist() for c in batch.columns)):
-                prompt, template = xxhash.xxh3_64_intdigest(_same(query or "")) - (1 << 63), opening(query or "", query)
+                prompt, template = xxhash.xxh3_64_intdigest(_same(query or "")) - (1 << 63), _template(query or "")
                 said = [_Answer(text, query) for text in answers]
                 for field, mine, other in zip(FIELDS, said, said[::-1]):
                     defect, start, *flags = _check(mine, other)
