@@ -14,6 +14,8 @@ from skein.operators.retrieval import first_wins
 from skein.session import written
 
 PERCENT = 85
+#: The ratio counts an insertion half, so names may differ by more edits, in per cent of the longer, than it says.
+EDITS = 10
 #: Names with a token in common that meet each other; commoner tokens count only in pairs.
 TOKEN_NAMES = 200
 #: Names that average linkage takes at once; a larger component is cut where its names are least alike.
@@ -69,11 +71,11 @@ def weighted_names(names: DataFrame, key: str = "name", percent: int = PERCENT,
     held = tokens.join(common, "k", "left_semi").groupBy("n").agg(F.array_sort(F.collect_list("k")).alias("ks"))
     twos = held.select("n", F.posexplode("ks").alias("i", "x"), "ks").select("n", "x", F.explode(F.slice("ks", F.col("i") + 2, F.size("ks"))).alias("y")).select("n", F.concat("x", F.lit(" "), "y").alias("k"))
     ordered = distinct.select("n", F.array_join(F.array_sort(F.split("n", " ")), " ").alias("o"))
-    turned = similar_names(ordered, "o", percent).select("a", "b")
+    turned = similar_names(ordered, "o", percent - EDITS).select("a", "b")
     back = lambda side: ordered.select(F.col("o").alias(side), F.col("n").alias(f"{side}n"))
     turned = turned.join(back("a"), "a").join(back("b"), "b").select(F.least("an", "bn").alias("a"), F.greatest("an", "bn").alias("b"))
     same = _meeting(ordered.select("n", F.col("o").alias("k")), most)
-    near = similar_names(distinct, "n", percent).select("a", "b")
+    near = similar_names(distinct, "n", percent - EDITS).select("a", "b")
     met = near.union(turned).union(same).union(_meeting(tokens, most)).union(_meeting(twos, most)).where("a < b").distinct()
     return met.withColumn("score", weighted_score("a", "b")).where(F.col("score") >= percent)
 
