@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 from collections import Counter
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from skein.functions import walks
 from skein.operators.chunking import numbered
 from skein.operators.components import connected_components
 from skein.session import checkpoint, discard, written
@@ -48,15 +51,52 @@ def distances(edges: DataFrame, sources: DataFrame, max_hops: int = 1000) -> Dat
     raise RuntimeError("distances go on beyond max_hops")
 
 
-def distance_profile(edges: DataFrame, nodes: DataFrame, words: int = 8) -> DataFrame:
+#: Distinct links that one broadcast holds, 4 bytes each, and the driver sorts, 8 bytes each; larger graphs are walked by joins.
+TASK_LINKS = 20_000_000
+#: Words of sources in a block of a task.
+TASK_WORDS = 64
+
+
+def _task_profile(links: DataFrame, nodes: DataFrame, words: int) -> list[tuple[int, int, int]]:
+    """hop, pairs, ended: each task holds all links and takes its block of sources to the end."""
+    spark = links.sparkSession
+    ends = links.select(F.col("src").alias("node")).union(links.select("dst")).distinct()
+    placed = nodes.select("node", F.lit(0).alias("late")).union(ends.join(nodes, "node", "left_anti").select("node", F.lit(1)))
+    placed = written(numbered(placed, ["late", "node"], "n"))  # the sources first
+    total, n = placed.where("late = 0").count(), placed.count()
+    at = lambda side: placed.select(F.col("node").alias(side), F.col("n").alias(f"{side}_n"))
+    keys = links.join(at("src"), "src").join(at("dst"), "dst").select(F.shiftleft("dst_n", 32).bitwiseOR(F.col("src_n")).alias("key"))
+    graph = spark.sparkContext.broadcast(walks.inward(keys.toArrow()["key"].to_numpy().copy(), n))
+    discard(placed)
+    size = 64 * walks.width(n, words)
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for first in batch.column("id").to_pylist():
+                rows = walks.block_profile(*graph.value, first, min(first + size, total))
+                yield pa.RecordBatch.from_pylist([{"hop": h, "pairs": p, "ended": e} for h, p, e in rows], pa.schema([("hop", pa.int32()), ("pairs", pa.int64()), ("ended", pa.int64())]))
+
+    blocks = -(-total // size)
+    found = spark.range(0, total, size, max(1, blocks)).mapInArrow(walk, "hop int, pairs bigint, ended bigint") if total else None
+    rows = [tuple(r) for r in found.groupBy("hop").agg(F.sum("pairs"), F.sum("ended")).orderBy("hop").collect()] if found is not None else [(0, 0, 0)]
+    graph.destroy()
+    return rows
+
+
+def distance_profile(edges: DataFrame, nodes: DataFrame, words: int = 8, task_links: int = TASK_LINKS, task_words: int = TASK_WORDS) -> DataFrame:
     """hop, pairs, ended: how many pairs are that far apart, and how many nodes have their farthest node there.
 
-    Every one of ``nodes`` is a source, in blocks of 64 * ``words``. A node holds one bit for each source of the block
-    that reaches it, so a round is one join and one bitwise aggregate however many sources there are.
+    Every one of ``nodes`` is a source. Up to ``task_links`` distinct links are handed to every task as numbers, and a
+    task walks a block of 64 * ``task_words`` sources to the end. With more links, blocks of 64 * ``words`` sources are
+    walked one after the other: a node holds one bit for each source of the block that reaches it, so a round is one
+    join and one bitwise aggregate however many sources there are.
     """
+    schema = "hop int, pairs bigint, ended bigint"
+    links = written(edges.select("src", "dst").where("src <> dst").distinct())
+    if links.count() <= task_links:
+        return edges.sparkSession.createDataFrame(_task_profile(links, nodes.select("node").where("node IS NOT NULL").distinct(), task_words), schema)
     size = 64 * words
     placed = checkpoint(numbered(nodes.select("node"), ["node"], "n"))
-    links = written(edges.select("src", "dst").where("src <> dst").distinct())
     names = [f"w{i}" for i in range(words)]
     either = [F.bit_or(w).alias(w) for w in names]
     pairs: Counter[int] = Counter({0: 0})
@@ -83,7 +123,7 @@ def distance_profile(edges: DataFrame, nodes: DataFrame, words: int = 8) -> Data
             discard(*old)
         discard(frontier)
     rows = [(h, pairs[h], ended[h]) for h in sorted(pairs)]
-    return edges.sparkSession.createDataFrame(rows, "hop int, pairs bigint, ended bigint")
+    return edges.sparkSession.createDataFrame(rows, schema)
 
 
 def _spread(edges: DataFrame, labels: DataFrame, keep: DataFrame | None = None) -> DataFrame:

@@ -24,3 +24,23 @@ def test_profile_of_all_nodes(spark):
     assert {r["hop"]: r["pairs"] for r in rows if r["pairs"]} == want and {r["hop"]: r["ended"] for r in rows if r["ended"]} == ended
     with pytest.raises(RuntimeError):
         traversal.distances(edges, spark.createDataFrame([(0,)], "node bigint"), 1)
+
+
+def test_tasks_walk_what_joins_walk(spark):
+    """A hub, a node out of reach and one that no source is; the blocks of a task give what rounds of joins give."""
+    rng = random.Random(8)
+    pairs = {(rng.randint(0, 149), rng.randint(0, 149)) for _ in range(300)} | {(i, 3) for i in range(100)} | {(3, i) for i in range(90, 150)} | {(7, 200)}
+    edges, nodes = spark.createDataFrame(sorted(pairs), "src bigint, dst bigint"), spark.range(151).withColumnRenamed("id", "node")
+    by_joins, by_tasks = (
+        {tuple(r) for r in traversal.distance_profile(edges, nodes, words=8, task_links=n, task_words=1).collect()} for n in (0, 1000)
+    )
+    assert by_tasks == by_joins and sum(r[2] for r in by_tasks) == 151
+
+
+def test_blocks_cost_no_jobs(spark):
+    """All sources in one job, however many blocks they make: 700 sources are 11 blocks of 64."""
+    edges = spark.range(700).selectExpr("id AS src", "(id + 1) % 700 AS dst").union(spark.range(700).selectExpr("id AS src", "(id * 7 + 3) % 700 AS dst"))
+    spark.sparkContext.setJobGroup("walk", "")
+    rows = traversal.distance_profile(edges, spark.range(700).withColumnRenamed("id", "node"), words=1).collect()
+    assert sum(r["pairs"] for r in rows) == 700 * 699 and len(spark.sparkContext.statusTracker().getJobIdsForGroup("walk")) < 60
+    spark.sparkContext.setJobGroup("", "")
