@@ -44,3 +44,13 @@ def test_blocks_cost_no_jobs(spark):
     rows = traversal.distance_profile(edges, spark.range(700).withColumnRenamed("id", "node"), words=1).collect()
     assert sum(r["pairs"] for r in rows) == 700 * 699 and len(spark.sparkContext.statusTracker().getJobIdsForGroup("walk")) < 60
     spark.sparkContext.setJobGroup("", "")
+
+
+def test_mean_of_a_long_way_round(spark):
+    """600 nodes one way round: 599 steps to the last, which took rounds of joins for each step of each block."""
+    edges = spark.range(600).selectExpr("id AS src", "(id + 1) % 600 AS dst")
+    spark.sparkContext.setJobGroup("mean", "")
+    rows = traversal.distance_profile(edges, spark.range(600).withColumnRenamed("id", "node")).collect()
+    assert {r["hop"]: r["pairs"] for r in rows} == {0: 0} | dict.fromkeys(range(1, 600), 600) and rows[-1]["ended"] == 600
+    assert len(spark.sparkContext.statusTracker().getJobIdsForGroup("mean")) < 60
+    spark.sparkContext.setJobGroup("", "")
