@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from skein.functions.fuzzy import weighted_ratio, weighted_score
@@ -24,6 +24,11 @@ LINKED_NAMES = 1000
 GENERIC_TYPES = ("MISC", "REBEL_ENTITY")
 
 
+def _signature(name: str) -> Column:
+    """64 bits: which characters, by their codes modulo 64, a name has an odd number of. An edit turns two bits at most."""
+    return F.expr(f"aggregate(split({name}, ''), 0L, (bits, c) -> bits ^ shiftleft(1L, ascii(c) % 64))")
+
+
 def similar_names(names: DataFrame, key: str = "name", percent: int = PERCENT) -> DataFrame:
     """a, b, distance: pairs of distinct names, a < b, with 1 - distance / longer length of at least ``percent`` %.
 
@@ -31,24 +36,29 @@ def similar_names(names: DataFrame, key: str = "name", percent: int = PERCENT) -
     stands unchanged in the other name, at most so many places off. Only names that share such a segment meet.
     """
     off = (100 - percent) / 100.0
-    distinct = names.select(F.col(key).alias("n")).where(F.length("n") > 0).distinct().withColumn("l", F.length("n"))
+    distinct = written(names.select(F.col(key).alias("n")).where(F.length("n") > 0).distinct().withColumn("l", F.length("n")).withColumn("bits", _signature("n")))
     allowed = lambda length: F.floor(length * off + 1e-9).cast("int")
     size = lambda length, i: F.floor(length / (allowed(length) + 1)).cast("int") + F.when(i >= allowed(length) + 1 - length % (allowed(length) + 1), 1).otherwise(0)
     base = lambda length: F.floor(length / (allowed(length) + 1)).cast("int")
     start = lambda length, i: i * base(length) + F.greatest(F.lit(0), i - (allowed(length) + 1 - length % (allowed(length) + 1))) + 1
     long = distinct.withColumn("i", F.explode(F.sequence(F.lit(0), allowed(F.col("l"))))).select(
-        F.col("n").alias("long"), F.col("l").alias("length"), "i", F.expr("substring(n, 1, l)").alias("_n"), "l"
+        F.col("n").alias("long"), F.col("l").alias("length"), "i", F.col("n").alias("_n"), "l", F.col("bits").alias("long_bits")
     )
-    long = long.select("long", "length", "i", F.substr("_n", start(F.col("l"), F.col("i")), size(F.col("l"), F.col("i"))).alias("segment"))
+    long = long.select("long", "long_bits", "length", "i", F.substr("_n", start(F.col("l"), F.col("i")), size(F.col("l"), F.col("i"))).alias("segment"))
     most = F.floor(F.col("l") / (1 - off) + 1e-9).cast("int")
-    short = distinct.select(F.col("n").alias("short"), "l", F.explode(F.sequence(F.col("l"), F.greatest(F.col("l"), most))).alias("length"))
+    short = distinct.select(F.col("n").alias("short"), "l", "bits", F.explode(F.sequence(F.col("l"), F.greatest(F.col("l"), most))).alias("length"))
     short = short.withColumn("i", F.explode(F.sequence(F.lit(0), allowed(F.col("length")))))
     p, k = start(F.col("length"), F.col("i")), allowed(F.col("length"))
     short = short.withColumn("at", F.explode(F.sequence(F.greatest(F.lit(1), p - k), F.greatest(F.lit(1), F.least(F.col("l"), p + k)))))
-    short = short.select("short", "l", "length", "i", F.substr("short", F.col("at"), size(F.col("length"), F.col("i"))).alias("segment"))
-    met = short.join(long, ["length", "i", "segment"]).where((F.col("short") != F.col("long")) & ((F.col("l") < F.col("length")) | (F.col("short") < F.col("long"))))
-    pairs = met.select(F.least("short", "long").alias("a"), F.greatest("short", "long").alias("b")).distinct()
-    return pairs.withColumn("distance", F.levenshtein("a", "b")).where(100 * F.col("distance") <= (100 - percent) * F.greatest(F.length("a"), F.length("b")))
+    short = short.select("short", "l", "bits", "length", "i", F.substr("short", F.col("at"), size(F.col("length"), F.col("i"))).alias("segment"))
+    one = (F.col("short") != F.col("long")) & ((F.col("l") < F.col("length")) | (F.col("short") < F.col("long")))
+    near = F.bit_count(F.col("bits").bitwiseXOR(F.col("long_bits"))) <= 2 * F.floor((100 - percent) * F.col("length") / 100)
+    # Both sides grow by what is exploded, which Spark's estimate does not see: neither may be broadcast. Few of the
+    # pairs that share a segment are similar, so they are verified where they meet and only those that are are shuffled.
+    met = short.hint("merge").join(long.hint("merge"), ["length", "i", "segment"]).where(one & near)
+    far = F.levenshtein("short", "long")
+    pairs = met.select(F.least("short", "long").alias("a"), F.greatest("short", "long").alias("b"), far.alias("distance"), "length")
+    return pairs.where(100 * F.col("distance") <= (100 - percent) * F.col("length")).select("a", "b", "distance").distinct()
 
 
 def _meeting(keyed: DataFrame, most: int) -> DataFrame:

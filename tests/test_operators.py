@@ -267,3 +267,13 @@ def test_weighted_names_and_clusters_are_those_of_all_pairs(spark):
     same = spark.createDataFrame([(f"n{i:03}", f"n{i + 1:03}", 100.0) for i in range(60)], "a string, b string, score double")
     parts = resolution.linked_parts(same, most=7).groupBy("component").count().collect()
     assert max(r["count"] for r in parts) <= 7 and sum(r["count"] for r in parts) == 61
+
+
+def test_similar_names_are_not_broadcast_and_verified_where_they_meet(spark):
+    names = ["ab😀defghijklmn", "ab😁defghijklmn", "abédefghijklm😀", "abcdefghijklmn", "abcdefghijklmno"]
+    pairs = resolution.similar_names(spark.createDataFrame([(n,) for n in names], "name string"))
+    assert {(r["a"], r["b"], r["distance"]) for r in pairs.collect()} == {
+        ("ab😀defghijklmn", "ab😁defghijklmn", 1), ("abcdefghijklmn", "ab😀defghijklmn", 1), ("abcdefghijklmn", "ab😁defghijklmn", 1), ("abcdefghijklmn", "abcdefghijklmno", 1),
+        ("abcdefghijklmno", "ab😀defghijklmn", 2), ("abcdefghijklmno", "ab😁defghijklmn", 2), ("abcdefghijklmn", "abédefghijklm😀", 2), ("abédefghijklm😀", "ab😀defghijklmn", 2), ("abédefghijklm😀", "ab😁defghijklmn", 2),
+    }
+    assert "Broadcast" not in pairs._jdf.queryExecution().executedPlan().toString()
