@@ -52,13 +52,14 @@ def similar_names(names: DataFrame, key: str = "name", percent: int = PERCENT) -
     short = short.withColumn("at", F.explode(F.sequence(F.greatest(F.lit(1), p - k), F.greatest(F.lit(1), F.least(F.col("l"), p + k)))))
     short = short.select("short", "l", "bits", "length", "i", F.substr("short", F.col("at"), size(F.col("length"), F.col("i"))).alias("segment"))
     one = (F.col("short") != F.col("long")) & ((F.col("l") < F.col("length")) | (F.col("short") < F.col("long")))
-    near = F.bit_count(F.col("bits").bitwiseXOR(F.col("long_bits"))) <= 2 * F.floor((100 - percent) * F.col("length") / 100)
+    most_edits = F.floor((100 - percent) * F.col("length") / 100).cast("int")
+    near = F.bit_count(F.col("bits").bitwiseXOR(F.col("long_bits"))) <= 2 * most_edits
     # Both sides grow by what is exploded, which Spark's estimate does not see: neither may be broadcast. Few of the
     # pairs that share a segment are similar, so they are verified where they meet and only those that are are shuffled.
     met = short.hint("merge").join(long.hint("merge"), ["length", "i", "segment"]).where(one & near)
-    far = F.levenshtein("short", "long")
-    pairs = met.select(F.least("short", "long").alias("a"), F.greatest("short", "long").alias("b"), far.alias("distance"), "length")
-    return pairs.where(100 * F.col("distance") <= (100 - percent) * F.col("length")).select("a", "b", "distance").distinct()
+    far = F.call_function("levenshtein", F.col("short"), F.col("long"), most_edits)  # -1 beyond
+    pairs = met.select(F.least("short", "long").alias("a"), F.greatest("short", "long").alias("b"), far.alias("distance"))
+    return pairs.where("distance >= 0").distinct()
 
 
 def _meeting(keyed: DataFrame, most: int) -> DataFrame:

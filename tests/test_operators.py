@@ -277,3 +277,14 @@ def test_similar_names_are_not_broadcast_and_verified_where_they_meet(spark):
         ("abcdefghijklmno", "ab😀defghijklmn", 2), ("abcdefghijklmno", "ab😁defghijklmn", 2), ("abcdefghijklmn", "abédefghijklm😀", 2), ("abédefghijklm😀", "ab😀defghijklmn", 2), ("abédefghijklm😀", "ab😁defghijklmn", 2),
     }
     assert "Broadcast" not in pairs._jdf.queryExecution().executedPlan().toString()
+
+
+def test_wider_similarity_is_exact_and_not_broadcast(spark):
+    """The width that weighted pairs ask for, 75 %, on names like those of the tables."""
+    rng = random.Random(4)
+    names = sorted({rng.choice(["kor", "vel", "kir"]) + rng.choice(["il", "or"]) + rng.choice(["gar", "tane"]) + f" {rng.randint(0, 999)}" for _ in range(120)})
+    frame = spark.createDataFrame([(n,) for n in names], "name string")
+    pairs = resolution.similar_names(frame, "name", resolution.PERCENT - resolution.EDITS)
+    every = frame.toDF("a").crossJoin(frame.toDF("b")).where("a < b").selectExpr("a", "b", "levenshtein(a, b) AS distance").where("100 * distance <= 25 * greatest(length(a), length(b))")
+    assert sorted(map(tuple, pairs.collect())) == sorted(map(tuple, every.collect()))
+    assert "Broadcast" not in pairs._jdf.queryExecution().executedPlan().toString()
