@@ -54,3 +54,17 @@ def test_mean_of_a_long_way_round(spark):
     assert {r["hop"]: r["pairs"] for r in rows} == {0: 0} | dict.fromkeys(range(1, 600), 600) and rows[-1]["ended"] == 600
     assert len(spark.sparkContext.statusTracker().getJobIdsForGroup("mean")) < 60
     spark.sparkContext.setJobGroup("", "")
+
+
+def test_strong_components_in_a_task_are_those_of_joins(spark):
+    """Random graphs, a long way round, a chain, a loop and a null end; in a task few jobs, which a round of joins each took."""
+    rng = random.Random(3)
+    pairs = {(rng.randint(0, 39), rng.randint(0, 39)) for _ in range(45)} | {(200 + i, 200 + (i + 1) % 7) for i in range(7)} | {(300 + i, 301 + i) for i in range(3)} | {(400, 400), (None, 401), (205, 5)}
+    edges = spark.createDataFrame([*pairs, *list(pairs)[:20]], "src bigint, dst bigint")
+    by_joins = {tuple(r) for r in traversal.strong_components(edges, task_links=0).collect()}
+    spark.sparkContext.setJobGroup("strong", "")
+    assert {tuple(r) for r in traversal.strong_components(edges).collect()} == by_joins and len(spark.sparkContext.statusTracker().getJobIdsForGroup("strong")) < 12
+    spark.sparkContext.setJobGroup("", "")
+    assert traversal.strong_components(edges.where("src < 0")).isEmpty()
+    chain = spark.range(50_000).selectExpr("id AS src", "id + 1 AS dst")
+    assert traversal.strong_components(chain).where("node = component").count() == 50_001
