@@ -6,6 +6,7 @@ from collections import Counter
 import pytest
 
 from skein.operators import traversal
+from skein.operators.components import connected_components
 
 
 def test_profile_of_all_nodes(spark):
@@ -68,3 +69,16 @@ def test_strong_components_in_a_task_are_those_of_joins(spark):
     assert traversal.strong_components(edges.where("src < 0")).isEmpty()
     chain = spark.range(50_000).selectExpr("id AS src", "id + 1 AS dst")
     assert traversal.strong_components(chain).where("node = component").count() == 50_001
+
+
+def test_weak_components_in_a_task_are_those_of_joins(spark):
+    rng = random.Random(4)
+    pairs = {(rng.randint(0, 99), rng.randint(0, 99)) for _ in range(60)} | {(200 + i, 200 + (i + 1) % 40) for i in range(40)} | {(400, 400), (None, 401)}
+    edges = spark.createDataFrame(sorted(pairs, key=str), "src bigint, dst bigint")
+    by_joins = {tuple(r) for r in connected_components(edges, task_edges=0).collect()}
+    spark.sparkContext.setJobGroup("weak", "")
+    assert {tuple(r) for r in connected_components(edges).collect()} == by_joins and len(spark.sparkContext.statusTracker().getJobIdsForGroup("weak")) < 12
+    spark.sparkContext.setJobGroup("", "")
+    assert connected_components(edges.where("src < 0")).isEmpty()
+    chain = spark.range(50_000).selectExpr("id AS src", "id + 1 AS dst")
+    assert connected_components(chain).where("component = 0").count() == 50_001
