@@ -4,11 +4,14 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from skein.functions.fuzzy import weighted_ratio, weighted_score
+from skein.functions import alike
 from skein.functions.text import normal_name
+from skein.operators.chunking import numbered
 from skein.operators.components import connected_components
 from skein.operators.retrieval import first_wins
 from skein.session import written
@@ -20,6 +23,9 @@ EDITS = 10
 TOKEN_NAMES = 200
 #: Names that average linkage takes at once; a larger component is cut where its names are least alike.
 LINKED_NAMES = 1000
+#: Names of a block, of which two are compared in a task; tasks at once; rows of names and keys in a task.
+BLOCK_NAMES, CELLS, SHARING_ROWS = 16_384, 2_000, 20_000
+LINKAGE_TASKS = 96
 # Types that say nothing about a mention; so does a missing type.
 GENERIC_TYPES = ("MISC", "REBEL_ENTITY")
 
@@ -62,33 +68,74 @@ def similar_names(names: DataFrame, key: str = "name", percent: int = PERCENT) -
     return pairs.where("distance >= 0").distinct()
 
 
-def _meeting(keyed: DataFrame, most: int) -> DataFrame:
-    """a, b of the names that share a key which at most ``most`` names have."""
+def _sharing(keyed: DataFrame, most: int, percent: float) -> DataFrame:
+    """a, b of the names that share a key k which at most ``most`` names have, if they can have a ratio of ``percent``."""
     counts = keyed.groupBy("k").agg(F.count(F.lit(1)).alias("c")).where((F.col("c") > 1) & (F.col("c") <= most)).select("k")
-    few = keyed.join(counts, "k", "left_semi")
-    return few.select("k", F.col("n").alias("a")).join(few.select("k", F.col("n").alias("b")), "k").where("a < b").select("a", "b")
+    few = written(keyed.join(counts, "k", "left_semi"))
+    parts = max(12, -(-few.count() // SHARING_ROWS))
+
+    def inside(group: pa.Table) -> pa.Table:
+        group = group.sort_by("k")
+        names = group["n"].to_pylist()
+        pairs = list(alike.sharing(group["k"].combine_chunks().dictionary_encode().indices.to_numpy(), percent, alike.Names(names)))
+        return _pairs(names, names, *(np.concatenate([p[k] for p in pairs]) for k in range(2)))
+
+    placed = few.select("k", "n", F.pmod(F.xxhash64("k"), F.lit(parts)).alias("part")).repartition(parts, "part")
+    return placed.groupBy("part").applyInArrow(inside, "a string, b string")
+
+
+def _pairs(left: list[str], right: list[str], i: np.ndarray, j: np.ndarray) -> pa.Table:
+    found = [(left[x], right[y]) for x, y in zip(i.tolist(), j.tolist())]
+    return pa.table({"a": pa.array([min(f) for f in found], pa.string()), "b": pa.array([max(f) for f in found], pa.string())})
+
+
+def _alike(names: DataFrame, percent: float, edits: float) -> DataFrame:
+    """a, b of the names (n, ks: its common tokens) that :func:`alike.tiled` finds, in cells of two blocks of names in the order of length."""
+    placed = numbered(names.withColumn("l", F.length("n")), ["l", "n"], "_k")
+    placed = written(placed.select("n", "ks", "l", F.floor(F.col("_k") / BLOCK_NAMES).alias("block")))
+    least = (100 - edits) / 100
+    ends = [(r["block"], r["low"], r["high"]) for r in placed.groupBy("block").agg(F.min("l").alias("low"), F.max("l").alias("high")).collect()]
+    cells = [(p, q) for p, _, high in ends for q, low, _ in ends if p <= q and low * least <= high + 1]
+    if not cells:
+        return placed.select(F.col("n").alias("a"), F.col("n").alias("b")).limit(0)
+    other: dict[int, list[int]] = {}
+    for p, q in cells:
+        other.setdefault(p, []).append(q)
+        if p != q:
+            other.setdefault(q, []).append(p)
+    partners = names.sparkSession.createDataFrame(pa.table({"block": list(other), "other": list(other.values())}))
+    rows = placed.join(F.broadcast(partners), "block").select("n", "ks", "block", F.explode("other").alias("other"))
+    rows = rows.select("n", "ks", "block", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"))
+
+    def inside(group: pa.Table) -> pa.Table:
+        sides = []
+        for block in sorted(set(group["block"].to_pylist())):
+            own = group.filter(pc.equal(group["block"], block))
+            held = sorted(zip(own["n"].to_pylist(), own["ks"].to_pylist()), key=lambda x: (len(x[0]), x[0]))
+            sides.append(alike.Names([h[0] for h in held], [h[1] or [] for h in held]))
+        found = list(alike.tiled(sides[0], sides[1] if len(sides) > 1 else None, percent, edits))
+        i, j = (np.concatenate([np.zeros(0, np.int64), *(f[k] for f in found)]) for k in range(2))
+        return _pairs(sides[0].names, sides[-1].names, i, j)
+
+    return rows.repartition(min(len(cells), CELLS), "p", "q").groupBy("p", "q").applyInArrow(inside, "a string, b string")
 
 
 def weighted_names(names: DataFrame, key: str = "name", percent: int = PERCENT, most: int = TOKEN_NAMES) -> DataFrame:
     """a, b, score: pairs of distinct names, a < b, whose weighted ratio is at least ``percent``.
 
-    Names meet if few edits lead from one to the other, as they stand or with their tokens sorted, if they share a token
-    that at most ``most`` names have, or two commoner tokens that so many have together. What meets is verified. Names
-    whose only likeness is one very common token do not meet; nothing else with that score is known to be missed.
+    Names meet if they or their sorted tokens are so alike, if they share a token that at most ``most`` names have, or
+    two commoner tokens that so many have together, or a commoner one and little else, within few edits. All pairs of
+    names of near lengths are compared, by the counts of their characters, in cells of blocks of names; what is left
+    of them and of names with a token in common is compared by arrays, and scored. Names whose only likeness is one very
+    common token do not meet; nothing else with that score is known to be missed.
     """
-    distinct = names.select(F.col(key).alias("n")).where(F.length("n") > 0).distinct()
+    distinct = written(names.select(F.col(key).alias("n")).where(F.length("n") > 0).distinct())
     tokens = written(distinct.select("n", F.explode(F.array_distinct(F.split("n", " "))).alias("k")).where("k <> ''"))
     common = tokens.groupBy("k").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > most).select("k")
-    held = tokens.join(common, "k", "left_semi").groupBy("n").agg(F.array_sort(F.collect_list("k")).alias("ks"))
+    held = written(tokens.join(common, "k", "left_semi").groupBy("n").agg(F.array_sort(F.collect_list("k")).alias("ks")))
     twos = held.select("n", F.posexplode("ks").alias("i", "x"), "ks").select("n", "x", F.explode(F.slice("ks", F.col("i") + 2, F.size("ks"))).alias("y")).select("n", F.concat("x", F.lit(" "), "y").alias("k"))
-    ordered = distinct.select("n", F.array_join(F.array_sort(F.split("n", " ")), " ").alias("o"))
-    turned = similar_names(ordered, "o", percent - EDITS).select("a", "b")
-    back = lambda side: ordered.select(F.col("o").alias(side), F.col("n").alias(f"{side}n"))
-    turned = turned.join(back("a"), "a").join(back("b"), "b").select(F.least("an", "bn").alias("a"), F.greatest("an", "bn").alias("b"))
-    same = _meeting(ordered.select("n", F.col("o").alias("k")), most)
-    near = similar_names(distinct, "n", percent - EDITS).select("a", "b")
-    met = near.union(turned).union(same).union(_meeting(tokens, most)).union(_meeting(twos, most)).where("a < b").distinct()
-    return met.withColumn("score", weighted_score("a", "b")).where(F.col("score") >= percent)
+    met = _alike(distinct.join(held, "n", "left"), percent, 100 - percent + EDITS).union(_sharing(tokens.select("k", "n").union(twos.select("k", "n")), most, percent))
+    return met.where("a < b").distinct().mapInArrow(alike.scored(percent), "a string, b string, score double")
 
 
 def canonical_forms(mentions: DataFrame, cluster: str, prefer_specific: bool = False) -> DataFrame:
@@ -111,23 +158,30 @@ def mention_counts(triplets: DataFrame) -> DataFrame:
 def average_linkage(names: list[str], cut: float = 100 - PERCENT) -> list[int]:
     """Labels of average-linkage clusters of names under 100 - weighted ratio, merged while the least mean is below ``cut``."""
     n = len(names)
-    d = np.full((n, n), np.inf)
-    for i in range(n):
-        for j in range(i):
-            d[i, j] = d[j, i] = 100.0 - weighted_ratio(names[i], names[j])
-    size, label, alive = np.ones(n), list(range(n)), np.ones(n, bool)
-    while alive.sum() > 1:
-        at = int(np.argmin(d))
-        i, j = sorted(divmod(at, n))
-        if d[i, j] >= cut:
+    d = 100.0 - alike.score_matrix(names)
+    np.fill_diagonal(d, np.inf)
+    size, label = np.ones(n), np.arange(n)
+    # The nearest of each name, the first of equal ones, and how near it is.
+    at = d.argmin(1) if n else label
+    least = d[np.arange(n), at]
+    while n > 1:
+        i = int(least.argmin())
+        if least[i] >= cut:
             break
+        i, j = sorted((i, int(at[i])))
         merged = (size[i] * d[i] + size[j] * d[j]) / (size[i] + size[j])
+        merged[[i, j]] = np.inf
         d[i], d[:, i] = merged, merged
-        d[j], d[:, j], d[i, i] = np.inf, np.inf, np.inf
+        d[j], d[:, j] = np.inf, np.inf
         size[i] += size[j]
-        alive[j] = False
-        label = [i if x == j else x for x in label]
-    return label
+        label[label == j] = i
+        stale = np.flatnonzero((at == i) | (at == j))
+        stale = np.union1d(stale, [i, j])
+        nearer = (merged < least) | ((merged == least) & (i < at))
+        at[nearer], least[nearer] = i, merged[nearer]
+        at[stale] = d[stale].argmin(1)
+        least[stale] = d[stale, at[stale]]
+    return label.tolist()
 
 
 def linked_parts(links: DataFrame, percent: int = PERCENT, most: int = LINKED_NAMES) -> DataFrame:
@@ -137,6 +191,16 @@ def linked_parts(links: DataFrame, percent: int = PERCENT, most: int = LINKED_NA
     enough; what identical scores still hold together then is cut in the order of its names. Average linkage joins the
     most alike first, so a cut separates what it would join last. Names without a link that is left are not listed.
     """
+    nodes = links.select(F.col("a").alias("name")).union(links.select("b")).distinct()
+    known = written(numbered(nodes, ["name"], "node").select("name", F.col("node").cast("bigint").alias("node")))
+    a, b = known.withColumnsRenamed({"name": "a", "node": "x"}), known.withColumnsRenamed({"name": "b", "node": "y"})
+    parts = _small_parts(written(links.join(a, "a").join(b, "b").select(F.col("x").alias("a"), F.col("y").alias("b"), "score")), percent, most)
+    first = known.withColumnsRenamed({"name": "first", "node": "component"})
+    return parts.join(known, "node").join(first, "component").select(F.col("name").alias("node"), F.col("first").alias("component"))
+
+
+def _small_parts(links: DataFrame, percent: int, most: int) -> DataFrame:
+    """:func:`linked_parts` of numbers."""
     found, level, least = None, links, float(percent)
     while True:
         parts = written(connected_components(level, "a", "b"))
@@ -158,14 +222,15 @@ def linked_parts(links: DataFrame, percent: int = PERCENT, most: int = LINKED_NA
 
 def name_clusters(names: DataFrame, key: str = "name", percent: int = PERCENT) -> DataFrame:
     """name, cluster: average linkage of all names with a similar one; others are not listed."""
-    parts = linked_parts(weighted_names(names, key, percent), percent)
+    parts = linked_parts(written(weighted_names(names, key, percent)), percent)
 
     def inside(group: pd.DataFrame) -> pd.DataFrame:
         own = sorted(group["node"])
         labels = average_linkage(own, 100 - percent)
         return pd.DataFrame({"name": own, "cluster": [own[k] for k in labels]})
 
-    return parts.groupBy("component").applyInPandas(inside, "name string, cluster string")
+    # Few rows take long here: their bytes say nothing about how many tasks they need.
+    return parts.repartition(LINKAGE_TASKS, "component").groupBy("component").applyInPandas(inside, "name string, cluster string")
 
 
 def resolve(triplets: DataFrame, percent: int = PERCENT, prefer_specific: bool = False) -> DataFrame:
