@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -19,12 +21,10 @@ from skein.session import written
 PERCENT = 85
 #: The ratio counts an insertion half, so names may differ by more edits, in per cent of the longer, than it says.
 EDITS = 10
-#: Names with a token in common that meet each other; commoner tokens count only in pairs.
-TOKEN_NAMES = 200
 #: Names that average linkage takes at once; a larger component is cut where its names are least alike.
 LINKED_NAMES = 1000
-#: Names of a block, of which two are compared in a task; tasks at once; rows of names and keys in a task.
-BLOCK_NAMES, CELLS, SHARING_ROWS = 16_384, 2_000, 20_000
+#: Names of a block, of which two are compared in a task, and blocks of fewer names; tasks at once; rows of a batch of pairs.
+BLOCK_NAMES, FEW_NAMES, BLOCKS, CELLS, BATCH = 16_384, 2_048, 8, 2_000, 10_000
 LINKAGE_TASKS = 96
 # Types that say nothing about a mention; so does a missing type.
 GENERIC_TYPES = ("MISC", "REBEL_ENTITY")
@@ -68,34 +68,14 @@ def similar_names(names: DataFrame, key: str = "name", percent: int = PERCENT) -
     return pairs.where("distance >= 0").distinct()
 
 
-def _sharing(keyed: DataFrame, most: int, percent: float) -> DataFrame:
-    """a, b of the names that share a key k which at most ``most`` names have, if they can have a ratio of ``percent``."""
-    counts = keyed.groupBy("k").agg(F.count(F.lit(1)).alias("c")).where((F.col("c") > 1) & (F.col("c") <= most)).select("k")
-    few = written(keyed.join(counts, "k", "left_semi"))
-    parts = max(12, -(-few.count() // SHARING_ROWS))
-
-    def inside(group: pa.Table) -> pa.Table:
-        group = group.sort_by("k")
-        names = group["n"].to_pylist()
-        pairs = list(alike.sharing(group["k"].combine_chunks().dictionary_encode().indices.to_numpy(), percent, alike.Names(names)))
-        return _pairs(names, names, *(np.concatenate([p[k] for p in pairs]) for k in range(2)))
-
-    placed = few.select("k", "n", F.pmod(F.xxhash64("k"), F.lit(parts)).alias("part")).repartition(parts, "part")
-    return placed.groupBy("part").applyInArrow(inside, "a string, b string")
-
-
-def _pairs(left: list[str], right: list[str], i: np.ndarray, j: np.ndarray) -> pa.Table:
-    found = [(left[x], right[y]) for x, y in zip(i.tolist(), j.tolist())]
-    return pa.table({"a": pa.array([min(f) for f in found], pa.string()), "b": pa.array([max(f) for f in found], pa.string())})
-
-
-def _alike(names: DataFrame, percent: float, edits: float) -> DataFrame:
-    """a, b of the names (n, ks: its common tokens) that :func:`alike.tiled` finds, in cells of two blocks of names in the order of length."""
-    placed = numbered(names.withColumn("l", F.length("n")), ["l", "n"], "_k")
-    placed = written(placed.select("n", "ks", "l", F.floor(F.col("_k") / BLOCK_NAMES).alias("block")))
-    least = (100 - edits) / 100
+def _cells(names: DataFrame, percent: float) -> DataFrame:
+    """a, b of the names (n) that :func:`alike.tiled` finds, in cells of two blocks of names in the order of length."""
+    placed = written(numbered(names.withColumn("l", F.length("n")), ["l", "n"], "_k"))
+    size = min(BLOCK_NAMES, max(FEW_NAMES, -(-placed.count() // BLOCKS)))
+    placed = written(placed.select("n", "l", F.floor(F.col("_k") / size).alias("block")))
     ends = [(r["block"], r["low"], r["high"]) for r in placed.groupBy("block").agg(F.min("l").alias("low"), F.max("l").alias("high")).collect()]
-    cells = [(p, q) for p, _, high in ends for q, low, _ in ends if p <= q and low * least <= high + 1]
+    # Names that are so much longer have a ratio of 60 at most.
+    cells = [(p, q) for p, _, high in ends for q, low, _ in ends if p <= q and (low <= alike.LONGEST * high or 100 * alike.SHORT_PART >= percent)]
     if not cells:
         return placed.select(F.col("n").alias("a"), F.col("n").alias("b")).limit(0)
     other: dict[int, list[int]] = {}
@@ -104,38 +84,35 @@ def _alike(names: DataFrame, percent: float, edits: float) -> DataFrame:
         if p != q:
             other.setdefault(q, []).append(p)
     partners = names.sparkSession.createDataFrame(pa.table({"block": list(other), "other": list(other.values())}))
-    rows = placed.join(F.broadcast(partners), "block").select("n", "ks", "block", F.explode("other").alias("other"))
-    rows = rows.select("n", "ks", "block", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"))
+    rows = placed.join(F.broadcast(partners), "block").select("n", "block", F.explode("other").alias("other"))
+    rows = rows.select("n", "block", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"))
 
-    def inside(group: pa.Table) -> pa.Table:
+    def inside(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group = pa.Table.from_batches(list(batches))
         sides = []
         for block in sorted(set(group["block"].to_pylist())):
             own = group.filter(pc.equal(group["block"], block))
-            held = sorted(zip(own["n"].to_pylist(), own["ks"].to_pylist()), key=lambda x: (len(x[0]), x[0]))
-            sides.append(alike.Names([h[0] for h in held], [h[1] or [] for h in held]))
-        found = list(alike.tiled(sides[0], sides[1] if len(sides) > 1 else None, percent, edits))
-        i, j = (np.concatenate([np.zeros(0, np.int64), *(f[k] for f in found)]) for k in range(2))
-        return _pairs(sides[0].names, sides[-1].names, i, j)
+            sides.append(alike.Names(sorted(own["n"].to_pylist(), key=lambda x: (len(x), x))))
+        left, right = (pa.array(side.names, pa.string()) for side in (sides[0], sides[-1]))
+        # A common token can give more pairs than are held at once.
+        for i, j in alike.tiled(sides[0], sides[1] if len(sides) > 1 else None, percent):
+            for x in range(0, len(i), BATCH):
+                found = left.take(pa.array(i[x : x + BATCH])), right.take(pa.array(j[x : x + BATCH]))
+                turned = pc.less(*found)
+                yield pa.RecordBatch.from_arrays([pc.if_else(turned, *found), pc.if_else(turned, *found[::-1])], ["a", "b"])
 
     return rows.repartition(min(len(cells), CELLS), "p", "q").groupBy("p", "q").applyInArrow(inside, "a string, b string")
 
 
-def weighted_names(names: DataFrame, key: str = "name", percent: int = PERCENT, most: int = TOKEN_NAMES) -> DataFrame:
-    """a, b, score: pairs of distinct names, a < b, whose weighted ratio is at least ``percent``.
+def weighted_names(names: DataFrame, key: str = "name", percent: int = PERCENT) -> DataFrame:
+    """a, b, score: all pairs of distinct names, a < b, whose weighted ratio is at least ``percent``.
 
-    Names meet if they or their sorted tokens are so alike, if they share a token that at most ``most`` names have, or
-    two commoner tokens that so many have together, or a commoner one and little else, within few edits. All pairs of
-    names of near lengths are compared, by the counts of their characters, in cells of blocks of names; what is left
-    of them and of names with a token in common is compared by arrays, and scored. Names whose only likeness is one very
-    common token do not meet; nothing else with that score is known to be missed.
+    All pairs of names are compared, by tokens in common and the counts of their characters, in cells of blocks of names;
+    what can have the ratio is scored. With lengths of a ratio of 1.5 to 8 a token in common is enough for 85.5, so that
+    a token of many names gives about the square of them as pairs.
     """
-    distinct = written(names.select(F.col(key).alias("n")).where(F.length("n") > 0).distinct())
-    tokens = written(distinct.select("n", F.explode(F.array_distinct(F.split("n", " "))).alias("k")).where("k <> ''"))
-    common = tokens.groupBy("k").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > most).select("k")
-    held = written(tokens.join(common, "k", "left_semi").groupBy("n").agg(F.array_sort(F.collect_list("k")).alias("ks")))
-    twos = held.select("n", F.posexplode("ks").alias("i", "x"), "ks").select("n", "x", F.explode(F.slice("ks", F.col("i") + 2, F.size("ks"))).alias("y")).select("n", F.concat("x", F.lit(" "), "y").alias("k"))
-    met = _alike(distinct.join(held, "n", "left"), percent, 100 - percent + EDITS).union(_sharing(tokens.select("k", "n").union(twos.select("k", "n")), most, percent))
-    return met.where("a < b").distinct().mapInArrow(alike.scored(percent), "a string, b string, score double")
+    distinct = names.select(F.col(key).alias("n")).where(F.length("n") > 0).distinct()
+    return _cells(distinct, percent).mapInArrow(alike.scored(percent), "a string, b string, score double")
 
 
 def canonical_forms(mentions: DataFrame, cluster: str, prefer_specific: bool = False) -> DataFrame:
