@@ -106,7 +106,8 @@ def common_length(left: np.ndarray, right: np.ndarray, i: np.ndarray, j: np.ndar
 
 def _ratio(left: np.ndarray, right: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
     """:func:`indel_ratio` of ``left[i]`` and ``right[j]``, rows of at most 64 characters."""
-    both = np.count_nonzero(left, axis=1)[i] + np.count_nonzero(right, axis=1)[j]
+    sizes = lambda x, k: np.count_nonzero(x, axis=1)[k] if len(k) > len(x) else np.count_nonzero(x[k], axis=1)
+    both = sizes(left, i) + sizes(right, j)
     return np.where(both > 0, 200.0 * common_length(left, right, i, j) / np.maximum(both, 1), 100.0)
 
 
@@ -271,7 +272,7 @@ def scores(own: Names, i: np.ndarray, j: np.ndarray) -> np.ndarray:
     # The pairs with a token in common or repeated; other sets of tokens are what is sorted.
     other = shared[fast] | own.again[i] | own.again[j]
     # Sets of tokens begin with what is common, which is a prefix of both sides.
-    held = [frozenset(t) for t in own.tokens] if other.any() else []
+    held = {k: frozenset(own.tokens[k]) for k in np.unique(np.r_[i[other], j[other]]).tolist()}
     prefix, left, right, at = [], [], [], []
     for k, p, q in zip(np.flatnonzero(other).tolist(), i[other].tolist(), j[other].tolist()):
         p, q = held[p], held[q]

@@ -5,13 +5,13 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from skein.functions import alike
+from skein.functions.linkage import linked_clusters
 from skein.functions.text import normal_name
 from skein.operators.chunking import numbered
 from skein.operators.components import connected_components
@@ -21,8 +21,8 @@ from skein.session import written
 PERCENT = 85
 #: The ratio counts an insertion half, so names may differ by more edits, in per cent of the longer, than it says.
 EDITS = 10
-#: Names that average linkage takes at once; a larger component is cut where its names are least alike.
-LINKED_NAMES = 1000
+#: Names of a component whose average linkage takes a table of all pairs; that of more keeps the pairs that are alike.
+TABLE_NAMES = 1000
 #: Names of a block, of which two are compared in a task, and blocks of fewer names; tasks at once; rows of a batch of pairs.
 BLOCK_NAMES, FEW_NAMES, BLOCKS, CELLS, BATCH = 16_384, 2_048, 8, 2_000, 10_000
 LINKAGE_TASKS = 96
@@ -161,10 +161,10 @@ def average_linkage(names: list[str], cut: float = 100 - PERCENT) -> list[int]:
     return label.tolist()
 
 
-def linked_parts(links: DataFrame, percent: int = PERCENT, most: int = LINKED_NAMES) -> DataFrame:
-    """node, component of the names that links (a, b, score) join, none with more than ``most`` names.
+def linked_parts(links: DataFrame, percent: int = PERCENT, most: int | None = None) -> DataFrame:
+    """node, component of the names that links (a, b, score) join; if ``most`` is given, none with more names.
 
-    Larger components are joined anew by links of a higher score, of 90, 95 and at last 100, until they are small
+    Clusters are those of whole components; only who asks for ``most`` gets parts. Larger components are then joined anew by links of a higher score, of 90, 95 and at last 100, until they are small
     enough; what identical scores still hold together then is cut in the order of its names. Average linkage joins the
     most alike first, so a cut separates what it would join last. Names without a link that is left are not listed.
     """
@@ -176,8 +176,10 @@ def linked_parts(links: DataFrame, percent: int = PERCENT, most: int = LINKED_NA
     return parts.join(known, "node").join(first, "component").select(F.col("name").alias("node"), F.col("first").alias("component"))
 
 
-def _small_parts(links: DataFrame, percent: int, most: int) -> DataFrame:
+def _small_parts(links: DataFrame, percent: int, most: int | None) -> DataFrame:
     """:func:`linked_parts` of numbers."""
+    if most is None:
+        return connected_components(links, "a", "b")
     found, level, least = None, links, float(percent)
     while True:
         parts = written(connected_components(level, "a", "b"))
@@ -198,22 +200,39 @@ def _small_parts(links: DataFrame, percent: int, most: int) -> DataFrame:
 
 
 def name_clusters(names: DataFrame, key: str = "name", percent: int = PERCENT) -> DataFrame:
-    """name, cluster: average linkage of all names with a similar one; others are not listed."""
-    parts = linked_parts(written(weighted_names(names, key, percent)), percent)
+    """name, cluster: average linkage of all names with a similar one; others are not listed.
 
-    def inside(group: pd.DataFrame) -> pd.DataFrame:
-        own = sorted(group["node"])
-        labels = average_linkage(own, 100 - percent)
-        return pd.DataFrame({"name": own, "cluster": [own[k] for k in labels]})
+    A component is clustered whole, in a task, whatever its size; its links go there too if it has more than
+    ``TABLE_NAMES`` names, for a table of all its pairs would be too large.
+    """
+    cut, table = 100 - percent, TABLE_NAMES
+    links = written(weighted_names(names, key, percent))
+    parts = written(linked_parts(links, percent))
+    large = parts.groupBy("component").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > table).select("component")
+    inside = parts.join(large, "component", "left_semi").withColumnRenamed("node", "a")
+    nothing = F.lit(None)
+    rows = parts.select("component", F.col("node").alias("a"), nothing.cast("string").alias("b"), nothing.cast("double").alias("score"))
+    rows = rows.unionByName(links.join(inside, "a").select("component", "a", "b", "score"))
+
+    def clustered(group: pa.Table) -> pa.Table:
+        alone = pc.is_null(group["b"])
+        own = pa.array(sorted(group.filter(alone)["a"].to_pylist()), pa.string())
+        if len(own) <= table:
+            labels = average_linkage(own.to_pylist(), cut)
+        else:
+            held = group.filter(pc.invert(alone))
+            x, y = (pc.index_in(held[side], own).to_numpy() for side in ("a", "b"))
+            labels = linked_clusters(own.to_pylist(), x, y, held["score"].to_numpy(), cut)
+        return pa.table({"name": own, "cluster": own.take(pa.array(labels))})
 
     # Few rows take long here: their bytes say nothing about how many tasks they need.
-    return parts.repartition(LINKAGE_TASKS, "component").groupBy("component").applyInPandas(inside, "name string, cluster string")
+    return rows.repartition(LINKAGE_TASKS, "component").groupBy("component").applyInArrow(clustered, "name string, cluster string")
 
 
 def resolve(triplets: DataFrame, percent: int = PERCENT, prefer_specific: bool = False) -> DataFrame:
     """Triplets with heads and tails in canonical form; new self loops are dropped.
 
-    Names whose weighted ratio is high are joined to components of bounded size, and inside each average linkage decides.
+    Names whose weighted ratio is high are joined to components, and inside each average linkage decides.
     Each name is clustered once, however many types and mentions it has.
     """
     counts = mention_counts(triplets).withColumn("name", normal_name(F.col("mention")))
